@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             if n:
                 yield batch
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         while at < n:
             end, held = at, 0
             while end < n and (end == at or held + sizes[end] <= most):
