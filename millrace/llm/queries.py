@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe
+from millrace.llm import bpe, chat, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,75 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops every line that at least 10 documents hold."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
+OP6_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (
+    SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+  )
+),
+frequent AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT
+  doc_id,
+  count(*)::BIGINT AS n_lines,
+  count(f.key)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN frequent f USING (key)
+GROUP BY doc_id
+"""
+
+#: One conversation that says what the template and its escapes say.
+PROBE = r"SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and one more that holds control strings; digests of what is read back."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(PROBE))
+    return chat.chat_digests(chat.format_chats(turns))
+
+
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+),
+placed AS (
+  SELECT *, row_number() OVER w AS rn, lag(role) OVER w AS before
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+),
+pieces AS (
+  SELECT *,
+    CASE WHEN rn > 1 AND before = role THEN '<next/>'
+         ELSE CASE WHEN rn > 1 THEN '</turn>' || chr(10) ELSE '' END
+              || '<turn ' || replace(replace(replace(role, chr(92), chr(92) || 's'), '<', chr(92) || 'l'), '>', chr(92) || 'g') || '>' || chr(10)
+    END || replace(replace(text, chr(92), chr(92) || 's'), '<', chr(92) || 'l') AS piece
+  FROM placed
+)
+SELECT
+  conv_id,
+  count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(length(piece)) + 8)::BIGINT AS formatted_chars
+FROM pieces
+GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_chat": op8_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+    "op8_chat": OP8_SQL,
+}
