@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, lines
+from millrace.llm import bpe, chat, lines, media, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page to WARC files and reads the records back."""
+    return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH sized AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT
+  page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM sized LEFT JOIN firsts USING (payload_digest)
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drops every line that at least 10 documents hold."""
     return lines.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -86,13 +102,21 @@ GROUP BY conv_id
 """
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every whole text as samples in the chunk store and reads it back."""
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
+    "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
     "op8_chat": op8_chat,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op8_chat": OP8_SQL,
 }
