@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, lines, media, warc
+from millrace.llm import bpe, chat, lines, media, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,11 @@ GROUP BY conv_id
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every whole text by rules whose accuracies are estimated from all of them."""
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every whole text as samples in the chunk store and reads it back."""
     return media.media_columns(_table(spark, sf_dir, "documents"))
@@ -112,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
     "op8_chat": op8_chat,
+    "op9_quality": op9_quality,
     "op10_media": op10_media,
 }
 
