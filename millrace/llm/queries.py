@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, lines, media, quality, warc
+from millrace.llm import bpe, chat, lines, media, mixing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents to target weights; how much of each the mix takes."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text with a word-end BPE vocabulary."""
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -113,6 +118,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_mix": op2_mix,
     "op3_bpe": op3_bpe,
     "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
