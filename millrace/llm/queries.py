@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, lines, media, mixing, quality, warc
+from millrace.llm import bpe, chat, langid, lines, media, mixing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +69,12 @@ FROM lines LEFT JOIN frequent f USING (key)
 GROUP BY doc_id
 """
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts every document's language from the profiles of two thirds of them."""
+    found = langid.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (langid.fold() == 1).alias("held_out"), "lang_pred", F.col("score"))
+
+
 #: One conversation that says what the template and its escapes say.
 PROBE = r"SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
 
@@ -122,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
     "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language": op7_language,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
