@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, langid, lines, media, mixing, quality, warc
+from millrace.llm import bpe, chat, langid, lines, media, mixing, ngrams, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins all documents with each other on 4-word shingles at a Jaccard similarity of 0.85."""
+    return ngrams.NgramJoin(_table(spark, sf_dir, "documents"), n=4, limit=ngrams.Threshold(85, 100)).components()
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page to WARC files and reads the records back."""
     return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
@@ -127,6 +132,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_mix": op2_mix,
     "op3_bpe": op3_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
