@@ -33,10 +33,10 @@ from millrace.llm.common import id_type, slices, stored, text_bytes
 DROP, IF_FREQUENT, SUMMARY = 0, 1, 2
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def identified(docs: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc, sig, body): the id, a hash of the text that tells rows with equal ids apart, the bytes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("sig"), text_bytes(text).alias("body"))
+    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("sig"), text_bytes(text).alias("body"), *(F.col(c).alias(f"c_{i}") for i, c in enumerate(carried)))
 
 
 def line_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -152,15 +152,15 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return grouped.mapInArrow(pack, f"doc {id_type(lines, 'doc')}, sig bigint, keep binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """A row per document: id, n_lines (before), n_dropped, kept_sha256, and with ``with_text`` the kept text.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: id, n_lines (before), n_dropped, kept_sha256, with ``with_text`` kept_text, and ``carried`` columns.
 
     The lines that stay are joined by a line feed; a document that loses all of them is empty.
     """
-    left = identified(docs, id_col, text_col).alias("l")
+    left = identified(docs, id_col, text_col, carried).alias("l")
     right = bitmaps.hint("shuffle_hash").alias("r")
-    joined = left.join(right, F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.sig") == F.col("r.sig")), "left").select("l.doc", "l.body", "r.keep")
-    schema = f"`{id_col}` {id_type(left, 'doc')}, n_lines bigint, n_dropped bigint, kept_sha256 string" + ", kept_text string" * with_text
+    joined = left.join(right, F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.sig") == F.col("r.sig")), "left").select("l.doc", "l.body", "r.keep", *(f"l.c_{i}" for i in range(len(carried))))
+    schema = f"`{id_col}` {id_type(left, 'doc')}, n_lines bigint, n_dropped bigint, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", `{c}` {id_type(left, f'c_{i}')}" for i, c in enumerate(carried))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body"):
@@ -181,7 +181,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id"
             if with_text:
                 columns.append(pa.array(texts, pa.string()))
                 names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[3:]], names=[*names, *carried])
 
     return joined.mapInArrow(work, schema)
 

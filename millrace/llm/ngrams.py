@@ -17,7 +17,7 @@ all documents are near copies of each other. Parity sketches (how many of 1,024
 most how many shingles differ) rule out most candidates, and the rest is verified exactly from the
 whole texts. After the components of these links are known, members of a list that are still in
 different components are compared with each other as well, which makes the components those of all
-links: only pairs that are already connected are left out.
+links; only pairs that are already connected are left out.
 
 Hashes: shingles 64 bits, sets 128 bits. Which shingles count as frequent only affects the order,
 never the result.

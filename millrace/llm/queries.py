@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, langid, lines, media, mixing, ngrams, quality, warc
+from millrace.llm import bpe, chat, langid, licenses, lines, media, mixing, ngrams, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,78 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files: a source is a project, a language and a hundred ids are directories.
+
+    A document whose first line speaks of a licence is a licence file, of its directory or of one
+    above it.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    source, lang, bucket = part("source"), part("lang"), F.floor(F.col("doc_id") / 100).cast("string")
+    head = F.rlike(F.lower(F.split(F.coalesce("text", F.lit("")), "\n")[0]), F.lit("licen[sc]"))
+    level = F.pmod("doc_id", F.lit(3))
+    folder = F.when(head & (level == 0), source).when(head & (level == 1), F.concat_ws("/", source, lang)).otherwise(F.concat_ws("/", source, lang, bucket))
+    name = F.concat(F.when(head, F.lit("LICENSE-")).otherwise(""), part("doc_id"))
+    return docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans all documents, as files of projects, for licences and passes these down the directories."""
+    files = document_paths(_table(spark, sf_dir, "documents"))
+    return licenses.scan(files, carried=("doc_id",)).select("doc_id", "path", "own", "score", "licence", "inherited_from")
+
+
+OP1_SQL = f"""
+WITH templates(template, name, body) AS (VALUES {", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES))}),
+tt AS (SELECT template, term, count(*) AS n FROM (SELECT template, unnest(regexp_extract_all(lower(body), '{licenses.TERM}')) AS term FROM templates) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + {len(licenses.TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
+tv AS (SELECT template, term, n * idf AS weight, sqrt(sum(n * idf * n * idf) OVER (PARTITION BY template)) AS norm FROM tt JOIN idf USING (term)),
+docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '_') AS source, coalesce(lang, '_') AS lang,
+         regexp_matches(lower(string_split(coalesce(text, ''), chr(10))[1]), 'licen[sc]') AS head
+  FROM documents
+),
+files AS (
+  SELECT doc_id, text, head,
+         CASE WHEN head AND doc_id % 3 = 0 THEN source WHEN head AND doc_id % 3 = 1 THEN source || '/' || lang
+              ELSE source || '/' || lang || '/' || (doc_id // 100) END AS dir,
+         CASE WHEN head THEN 'LICENSE-' ELSE '' END || doc_id AS base
+  FROM docs
+),
+units AS (
+  SELECT doc_id, unit, row_number() OVER () AS u
+  FROM (SELECT DISTINCT doc_id, unit FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, true AS line FROM files
+    UNION ALL SELECT doc_id, text, false FROM files WHERE head
+  ) WHERE NOT line OR regexp_matches(lower(unit), '{licenses.MARKER}'))
+),
+ut AS (SELECT u, term, count(*) AS n FROM (SELECT u, unnest(regexp_extract_all(lower(unit), '{licenses.TERM}')) AS term FROM units) GROUP BY ALL),
+uw AS (SELECT u, term, n * coalesce(idf, ln(1 + {len(licenses.TEMPLATES)}) + 1) AS w FROM ut LEFT JOIN idf USING (term)),
+un AS (SELECT u, sqrt(sum(w * w)) AS size FROM uw GROUP BY u),
+scored AS (SELECT u, template, round(sum(w * weight) / (any_value(size) * any_value(norm)), 4) AS score FROM uw JOIN tv USING (term) JOIN un USING (u) GROUP BY u, template),
+best AS (
+  SELECT doc_id, name AS own, score FROM (
+    SELECT doc_id, template, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS r
+    FROM scored JOIN units USING (u) WHERE score >= 0.6
+  ) JOIN templates USING (template) WHERE r = 1
+),
+governed AS (
+  SELECT dir AS above, own AS dir_licence FROM (
+    SELECT dir, own, row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/' || base) AS r FROM files JOIN best USING (doc_id) WHERE head
+  ) WHERE r = 1
+),
+near AS (
+  SELECT dir, above, dir_licence FROM (
+    SELECT dir, above, dir_licence, row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) AS r
+    FROM (SELECT DISTINCT dir FROM files) f JOIN governed g ON f.dir = g.above OR starts_with(f.dir, g.above || '/')
+  ) WHERE r = 1
+)
+SELECT doc_id, dir || '/' || base AS path, own, coalesce(score, 0.0)::DOUBLE AS score, coalesce(own, dir_licence) AS licence,
+       CASE WHEN own IS NULL THEN above END AS inherited_from
+FROM files LEFT JOIN best USING (doc_id) LEFT JOIN near USING (dir)
+"""
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to target weights; how much of each the mix takes."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -130,6 +202,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_licenses": op1_licenses,
     "op2_mix": op2_mix,
     "op3_bpe": op3_bpe,
     "op4_ngram_join": op4_ngram_join,
@@ -142,6 +215,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_licenses": OP1_SQL,
     "op5_warc": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op8_chat": OP8_SQL,
