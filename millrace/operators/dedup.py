@@ -146,7 +146,7 @@ def semantic_pairs(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_i
     """
     unit = vectors.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = unit.withColumn("norm", norm).where("norm > 0").withColumn("u", F.transform("v", lambda x: x / F.col("norm")))
+    unit = unit.withColumn("norm", norm).where("norm > 0").withColumn("u", F.transform("v", lambda x: F.try_divide(x, F.col("norm"))))
     width = (2 - 2 * limit) ** 0.5
     dims = 3
     cell = [F.floor(F.element_at("u", i + 1) / width).cast("int") for i in range(dims)]

@@ -26,7 +26,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     bounds = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins)
     # One row of bounds, broadcast.
-    placed = df.join(F.broadcast(bounds), F.lit(True)).select(F.coalesce(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"))
+    placed = df.join(F.broadcast(bounds), F.lit(True)).select(F.when(width.isNull(), 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).cast("int").alias("bin"))
     counts = placed.groupBy("bin").agg(F.count("*").alias("n"))
     last = F.when(F.col("hi") > F.col("lo"), bins - 1).otherwise(0)
     frame = bounds.where("lo IS NOT NULL").select("lo", "hi", width.alias("width"), F.explode(F.sequence(F.lit(0), last)).alias("bin"))
