@@ -16,8 +16,9 @@ member without such a pivot becomes one, so candidates are linear in the lists e
 all documents are near copies of each other. Parity sketches (how many of 1,024 bits differ is at
 most how many shingles differ) rule out most candidates, and the rest is verified exactly from the
 whole texts. After the components of these links are known, members of a list that are still in
-different components are compared with each other as well, which makes the components those of all
-links; only pairs that are already connected are left out.
+different components are compared with each other as well, sketches first and within the task, so
+that only pairs near enough leave it. That makes the components those of all links; only pairs that
+are already connected are left out.
 
 Hashes: shingles 64 bits, sets 128 bits. Which shingles count as frequent only affects the order,
 never the result.
@@ -43,11 +44,15 @@ from pyspark.sql.window import Window
 from millrace.llm.common import id_type, slices, stored, text_bytes
 from millrace.llm.graph import components
 
-#: Bits of a parity sketch, in words of 64.
-SKETCH = 16
+#: Bits of a parity sketch, in words of 64; large sets have a wide one besides.
+SKETCH, WIDE, LARGE = 16, 256, 1024
+#: Bits of the filter that says whose texts are needed.
+FILTER_BITS = 1 << 23
 #: A shingle that is this often in one slice of a task's texts is reported; of those, so many are
 #: ordered last. Both only affect the order.
 OFTEN, FREQUENT = 3, 200_000
+#: Members of a list that are compared in one task with as many others.
+BLOCK = 1024
 #: What scanning costs an entry of an inverted list, in rows of a subset.
 SCAN = 8
 
@@ -95,10 +100,10 @@ def shingle_sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of SKETCH * 64 buckets, as packed bits."""
-    bucket = (shingles >> np.uint64(20)).astype(np.int64) & (SKETCH * 64 - 1)
-    return np.packbits(np.bincount(bucket, minlength=SKETCH * 64).astype(np.uint8) & 1).tobytes()
+def sketch(shingles: np.ndarray, size: int = SKETCH) -> bytes:
+    """Parity of the number of shingles in each of ``size`` * 64 buckets, as packed bits."""
+    bucket = (shingles >> np.uint64(20)).astype(np.int64) & (size * 64 - 1)
+    return np.packbits(np.bincount(bucket, minlength=size * 64).astype(np.uint8) & 1).tobytes()
 
 
 @dataclass(frozen=True)
@@ -144,9 +149,9 @@ class NgramJoin:
         self.rows = docs.select(F.col(id_col).alias("doc"), text_bytes(F.col(text_col).cast("string")).alias("body"))
         self.kind = id_type(self.rows, "doc")
         found = stored(self._scan(), "ngram-sets")
-        self.sets = found.where("tok IS NULL").select("doc", "node", "size", "sketch")
+        self.sets = found.where("tok IS NULL").select("doc", "node", "size", "sketch", "wide")
         self._frequent = self._order(found.where("tok IS NOT NULL"))
-        classes = self.sets.where("size > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+        classes = self.sets.where("size > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
         self.classes = stored(classes.withColumn("k", _key("node")), "ngram-classes")
         histogram = self.classes.groupBy("size").count().collect()
         self.light = boundary({r["size"]: r["count"] for r in histogram}, self.limit)
@@ -178,11 +183,12 @@ class NgramJoin:
                     pa.concat_arrays([pa.array(nodes, pa.binary()), nothing(pa.binary(), m)]),
                     pa.concat_arrays([pa.array([len(s) for s in sets], pa.int32()), pa.array(times, pa.int32())]),
                     pa.concat_arrays([pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), nothing(pa.binary(), m)]),
+                    pa.concat_arrays([pa.array([sketch(s, WIDE) if len(s) >= LARGE else None for s in sets], pa.binary()), nothing(pa.binary(), m)]),
                     pa.concat_arrays([nothing(pa.int64(), len(sets)), pa.array(tok, pa.int64())]),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "node", "size", "sketch", "tok"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "node", "size", "sketch", "wide", "tok"])
 
-        return self.rows.mapInArrow(work, f"doc {self.kind}, node binary, size int, sketch binary, tok bigint")
+        return self.rows.mapInArrow(work, f"doc {self.kind}, node binary, size int, sketch binary, wide binary, tok bigint")
 
     def _order(self, often: DataFrame) -> np.ndarray:
         """The most frequent shingles, sorted by hash, with their counts (bounded: FREQUENT rows)."""
@@ -250,14 +256,17 @@ class NgramJoin:
         rows = self.lists().repartition("key").sortWithinPartitions("key", order, "k")
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state: list = [0, [], False]  # the key, its pivots as (k, size), whether there is one
+            state: list = [0, [], False, None]  # the key, its pivots as (k, size), whether there is one, the last set
 
             def scan(key: np.ndarray, k: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
                 keep, pivot = [], []
-                now, pivots, begun = state
+                now, pivots, begun, before = state
                 for i, (x, a, m) in enumerate(zip(key.tolist(), k.tolist(), size.tolist(), strict=True)):
                     if x != now or not begun:
-                        now, pivots, begun = x, [], True
+                        now, pivots, begun, before = x, [], True, None
+                    if a == before:
+                        continue
+                    before = a
                     found = None
                     for p, q in pivots:
                         if p == a or limit.den * min(m, q) >= limit.num * max(m, q):
@@ -267,7 +276,7 @@ class NgramJoin:
                         pivots.append((a, m))
                     keep.append(i)
                     pivot.append(found)
-                state[:] = [now, pivots, begun]
+                state[:] = [now, pivots, begun, before]
                 at = np.array(keep, np.int64)
                 return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(k[at]), pa.array(size[at]), pa.array(pivot, pa.int64())], names=["key", "k", "size", "pivot"])
 
@@ -295,37 +304,103 @@ class NgramJoin:
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) of keys of sets, those whose sizes and sketches allow a link."""
-        words = F.array(*(F.conv(F.hex(F.substring("sketch", 1 + 8 * i, 8)), 16, -10).cast("bigint") for i in range(SKETCH)))
-        known = self.classes.select("k", "node", "size", words.alias("bits"))
+        word = lambda c, i: F.conv(F.hex(F.substring(c, 1 + 8 * i, 8)), 16, -10).cast("bigint")
+        wide = F.when(F.col("wide").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda i: F.conv(F.hex(F.substring("wide", 1 + 8 * i, F.lit(8))), 16, -10).cast("bigint")))
+        known = self.classes.select("k", "node", "size", F.array(*(word("sketch", i) for i in range(SKETCH))).alias("bits"), wide.alias("wide"))
         side = lambda x: known.select(*(F.col(c).alias(f"{x}_{c}") for c in known.columns))
         both = pairs.join(side("a"), F.col("a") == F.col("a_k")).join(side("b"), F.col("b") == F.col("b_k"))
         total = F.col("a_size") + F.col("b_size")
         overlap = F.ceil(self.limit.num * total / (self.limit.num + self.limit.den))
-        differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        differ = F.greatest(apart("a_bits", "b_bits"), apart("a_wide", "b_wide"))
         fits = self.limit.fits(F.least("a_size", "b_size"), F.greatest("a_size", "b_size"))
         return both.where(fits & (differ <= total - 2 * overlap)).select("a_node", "b_node")
 
+    def _across(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members (key, k, size, root, n of the list) in different components that size and sketch allow.
+
+        Only these pairs leave a task. A list is dealt out in blocks of about BLOCK members, and
+        each pair of blocks is compared by itself, so that no task holds more than two.
+        """
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        rows = members.join(self.classes.select("k", "sketch"), "k").select("key", "k", "size", "root", "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("k"), blocks).cast("int").alias("own"))
+        dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "k", "size", "root", "sketch")
+        ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        limit = self.limit
+
+        def compare(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, k, size, root = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in part]) for i in (3, 4, 5, 6))
+            lo, hi = part[0].column(1)[0].as_py(), part[0].column(2)[0].as_py()
+            bits = np.frombuffer(b"".join(x for b in part for x in b.column(7).to_pylist()), np.uint64).reshape(len(k), SKETCH)
+            size = size.astype(np.int64)
+            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            for at in range(0, len(left), 128):
+                i = left[at : at + 128]
+                total = size[i][:, None] + size[right][None, :]
+                small = np.minimum(size[i][:, None], size[right][None, :])
+                fits = (root[i][:, None] != root[right][None, :]) & (limit.den * small >= limit.num * (total - small))
+                x, y = np.nonzero(fits)
+                if not len(x):
+                    continue
+                i, j, total = i[x], right[y], total[x, y]
+                overlap = -(-limit.num * total // (limit.num + limit.den))
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= total - 2 * overlap
+                a, b = np.minimum(k[i], k[j])[near], np.maximum(k[i], k[j])[near]
+                both = np.unique(np.stack([a, b], axis=1), axis=0)
+                if len(both):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            last = None
+            for batch in batches:
+                names = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True))
+                starts = [i for i in range(len(names)) if names[i] != (names[i - 1] if i else last)]
+                for start, end in zip([0, *starts], [*starts, len(names)], strict=True):
+                    if start in starts and held:
+                        yield from compare(held)
+                        held = []
+                    if end > start:
+                        held.append(batch.slice(start, end - start))
+                last = names[-1] if names else last
+            if held:
+                yield from compare(held)
+
+        return ordered.mapInArrow(work, "a bigint, b bigint")
+
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of sets that do link, from their whole texts."""
         n, limit = self.n, self.limit
         pairs = stored(pairs.distinct(), f"{name}-pairs")
         needed = pairs.select(F.col("a_node").alias("node")).unionByName(pairs.select(F.col("b_node").alias("node"))).distinct()
-        # One document a set; ids that several rows share bring texts of other sets along, which go.
-        ids = needed.join(self.classes, "node").select(F.col("least").alias("id")).distinct()
-        texts = self.rows.join(ids.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("id"))).select("body")
+        # One document a set has the text. A filter of fixed size, by hashes of ids, finds these
+        # documents without moving any text; what passes it by chance meets no pair below.
+        bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+        ids = needed.join(self.classes, "node").select(F.col("least").alias("doc")).select(bit.alias("bit"))
+        wanted = np.zeros(FILTER_BITS // 8, np.uint8)
+        number = F.col("bit") + 1  # Spark's bitmaps count from 1
+        for r in ids.groupBy(F.bitmap_bucket_number(number).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")).collect():
+            at = (r["n"] - 1) * len(r["bits"])
+            piece = np.frombuffer(bytes(r["bits"]), np.uint8)[: max(0, len(wanted) - at)]
+            wanted[at : at + len(piece)] |= piece
+        shared = self.rows.sparkSession.sparkContext.broadcast(wanted)
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = None
+            seen: set[bytes] = set()
             for batch in slices(batches, "body"):
-                bodies = batch.column(0).to_pylist()
-                bodies = [b for i, b in enumerate(bodies) if b != (bodies[i - 1] if i else last)]
-                if not bodies:
-                    continue
-                last = bodies[-1]
-                data = [s.tobytes() for s in shingle_sets(bodies, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary()), pa.array(data, pa.binary())], names=["node", "data"])
+                bits = batch.column(0).to_numpy()
+                hit = (shared.value[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
+                found = [(hashlib.blake2b(d, digest_size=16).digest(), d) for d in (s.tobytes() for s in shingle_sets(batch.column(1).filter(pa.array(hit)).to_pylist(), n))]
+                fresh = {node: d for node, d in found if node not in seen}
+                seen.update(fresh)
+                if len(seen) > 500_000:
+                    seen.clear()
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.binary())], names=["node", "data"])
 
-        data = stored(texts.mapInArrow(hashed, "node binary, data binary").dropDuplicates(["node"]), f"{name}-data")
+        read = self.rows.select(bit.alias("bit"), "body").mapInArrow(hashed, "node binary, data binary")
+        data = stored(read.join(needed, "node", "left_semi").dropDuplicates(["node"]), f"{name}-data")
         both = pairs.join(data.select(F.col("node").alias("a_node"), F.col("data").alias("a_data")), "a_node").join(data.select(F.col("node").alias("b_node"), F.col("data").alias("b_data")), "b_node")
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,13 +424,10 @@ class NgramJoin:
         first = stored(components(links), "ngram-components")
         # Members of a list in different components that have not been compared yet.
         label = first.select(_key("node").alias("l_k"), _key("root").alias("root"))
-        members = scanned.select("key", "k", "size").join(label, F.col("k") == F.col("l_k"), "left").select("key", "k", "size", F.coalesce("root", "k").alias("root")).distinct()
-        open_lists = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("key")
-        rest = stored(members.join(open_lists, "key"), "ngram-open")
-        l, r = rest.alias("l"), rest.alias("r")
-        near = (F.col("l.key") == F.col("r.key")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.root") != F.col("r.root"))
-        near &= self.limit.fits(F.least("l.size", "r.size"), F.greatest("l.size", "r.size"))
-        pairs = l.join(r, near).select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        long = scanned.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+        members = scanned.select("key", "k", "size").join(long, "key", "left_semi").join(label, F.col("k") == F.col("l_k"), "left").select("key", "k", "size", F.coalesce("root", "k").alias("root"))
+        open_lists = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+        pairs = self._across(members.join(open_lists, "key")).distinct().join(tested, ["a", "b"], "left_anti")
         more = self._verified(self._near(pairs), "ngram-second")
         if more.isEmpty():
             return first
