@@ -190,7 +190,9 @@ class Mix:
         pieces = self.sized.where("size > 0").select("doc", "sig", "sid", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / b), F.floor((end - 1) / b))).alias("block"))
         start = F.greatest(F.col("offset"), F.col("block") * b)
         pieces = pieces.select("doc", "sig", "sid", "offset", "block", (start - F.col("offset")).alias("start"), (F.least(end, (F.col("block") + 1) * b) - start).alias("words"))
-        return self.slots().join(pieces, ["sid", "block"])
+        # Slots come from a small table of groups, which says nothing about their number: without
+        # the hint Spark would take them for small and broadcast them.
+        return self.slots().hint("merge").join(pieces, ["sid", "block"])
 
     def taken(self) -> DataFrame:
         """A row a document: id, size, source_size, target, taken."""
