@@ -316,9 +316,11 @@ class NgramJoin:
         fits = self.limit.fits(F.least("a_size", "b_size"), F.greatest("a_size", "b_size"))
         return both.where(fits & (differ <= total - 2 * overlap)).select("a_node", "b_node")
 
-    def _across(self, members: DataFrame) -> DataFrame:
+    def _across(self, members: DataFrame, nearest: bool) -> DataFrame:
         """Pairs (a, b) of members (key, k, size, root, n of the list) in different components that size and sketch allow.
 
+        With ``nearest`` only the pair with the nearest sketches for each component of a list.
+
         Only these pairs leave a task. A list is dealt out in blocks of about BLOCK members, and
         each pair of blocks is compared by itself, so that no task holds more than two.
         """
@@ -335,6 +337,7 @@ class NgramJoin:
             bits = np.frombuffer(b"".join(x for b in part for x in b.column(7).to_pylist()), np.uint64).reshape(len(k), SKETCH)
             size = size.astype(np.int64)
             left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            best: dict[int, tuple[int, int, int]] = {}
             for at in range(0, len(left), 128):
                 i = left[at : at + 128]
                 total = size[i][:, None] + size[right][None, :]
@@ -345,11 +348,25 @@ class NgramJoin:
                     continue
                 i, j, total = i[x], right[y], total[x, y]
                 overlap = -(-limit.num * total // (limit.num + limit.den))
-                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= total - 2 * overlap
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
+                near = apart <= total - 2 * overlap
+                if nearest:
+                    for one, other in ((i, j), (j, i)):
+                        order = np.flatnonzero(near)
+                        order = order[np.lexsort((k[other[order]], k[one[order]], apart[order], root[one[order]]))]
+                        first = np.concatenate(([True], np.diff(root[one[order]]) != 0)) if len(order) else order.astype(bool)
+                        for x in order[first].tolist():
+                            pair = (int(apart[x]), *sorted((int(k[i[x]]), int(k[j[x]]))))
+                            of = int(root[one[x]])
+                            best[of] = min(best.get(of, pair), pair)
+                    continue
                 a, b = np.minimum(k[i], k[j])[near], np.maximum(k[i], k[j])[near]
                 both = np.unique(np.stack([a, b], axis=1), axis=0)
                 if len(both):
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            if best:
+                pairs = sorted({(a, b) for _, a, b in best.values()})
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -421,17 +438,22 @@ class NgramJoin:
         tested = scanned.where("pivot IS NOT NULL AND pivot <> k").select(*ordered("k", "pivot")).distinct()
         tested = stored(tested, "ngram-tested")
         links = self._verified(self._near(tested), "ngram-first")
-        first = stored(components(links), "ngram-components")
-        # Members of a list in different components that have not been compared yet.
-        label = first.select(_key("node").alias("l_k"), _key("root").alias("root"))
+        found = stored(components(links), "ngram-components")
         long = scanned.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
-        members = scanned.select("key", "k", "size").join(long, "key", "left_semi").join(label, F.col("k") == F.col("l_k"), "left").select("key", "k", "size", F.coalesce("root", "k").alias("root"))
-        open_lists = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-        pairs = self._across(members.join(open_lists, "key")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = self._verified(self._near(pairs), "ngram-second")
-        if more.isEmpty():
-            return first
-        return components(links.unionByName(more))
+        listed = scanned.select("key", "k", "size").join(long, "key", "left_semi")
+        # Members of a list in different components that have not been compared yet. The nearest of
+        # each two components come first, which joins most of what belongs together by few pairs;
+        # then all that are left.
+        for nearest in (True, False):
+            label = found.select(_key("node").alias("l_k"), _key("root").alias("root"))
+            members = listed.join(label, F.col("k") == F.col("l_k"), "left").select("key", "k", "size", F.coalesce("root", "k").alias("root"))
+            open_lists = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+            pairs = self._across(members.join(open_lists, "key"), nearest).distinct().join(tested, ["a", "b"], "left_anti")
+            more = self._verified(self._near(pairs), f"ngram-{'nearest' if nearest else 'all'}")
+            if not more.isEmpty():
+                links = stored(links.unionByName(more), "ngram-links")
+                found = stored(components(links), "ngram-components")
+        return found
 
     def components(self) -> DataFrame:
         """A row a document: id, n_shingles, component_id (the least id that links reach), class (hex of its set)."""
