@@ -9,6 +9,9 @@ licence file. A file without its own takes that of the nearest directory above i
 of every directory are joined, by path, with the directories that have a licence, and the longest
 path wins.
 
+Headers that wrap over lines, SPDX lines and whole licence texts are recognised, text by text, by
+:mod:`millrace.llm.notices`; where one of these fits a file best, it is the file's own licence.
+
 Defined cases: null text is empty and has no licence; null parts of a path are ``_``; ties go to
 the earlier template, and between licence files to the smaller path; a file is a (path, text) pair,
 so repeated rows get equal results; other columns than those named are ignored.
@@ -17,11 +20,14 @@ so repeated rows get equal results; other columns than those named are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm import notices
+from millrace.llm.common import slices, stored
 
 #: Short public notices of common licences.
 TEMPLATES = (
@@ -64,6 +70,20 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def standard_licences(rows: DataFrame, least: float) -> DataFrame:
+    """(path, sig, s_licence, s_score) of the (path, sig, text) that a standard notice fits best."""
+    likely = rows.where(F.rlike(F.lower("text"), F.lit(notices.HINT))).select("path", "sig", F.rlike(F.coalesce("path", F.lit("")), F.lit(LICENCE_FILE)).alias("whole"), "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [notices.declared(t, w, TEMPLATES, least) for w, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            hit = pa.array([x is not None for x in found], pa.bool_())
+            names = pa.array([x and x[0] for x in found], pa.string()), pa.array([x and x[1] for x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *names], names=["path", "sig", "s_licence", "s_score"]).filter(hit)
+
+    return likely.mapInArrow(work, "path string, sig bigint, s_licence string, s_score double").distinct()
+
+
 def own_licences(files: DataFrame, *, path_col: str = "path", text_col: str = "text", least: float = 0.6) -> DataFrame:
     """(path, sig, licence, score) of the files that declare one."""
     spark = files.sparkSession
@@ -83,7 +103,9 @@ def own_licences(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     scored = dots.join(norms, "unit").select("unit", "template", F.round(F.col("dot") / (F.col("size") * F.col("norm")), 4).alias("score")).where(F.col("score") >= least)
     best = scored.join(numbered.select("unit", "path", "sig"), "unit").groupBy("path", "sig").agg(F.max(F.struct("score", (-F.col("template")).alias("order"))).alias("best"))
     names = F.array(*(F.lit(x) for x, _ in TEMPLATES))
-    return best.select("path", "sig", F.get(names, -F.col("best.order")).alias("licence"), F.col("best.score").alias("score"))
+    lines = best.select("path", "sig", F.get(names, -F.col("best.order")).alias("licence"), F.col("best.score").alias("score"))
+    both = lines.join(standard_licences(rows, least), ["path", "sig"], "full")
+    return both.select("path", "sig", F.coalesce("s_licence", "licence").alias("licence"), F.coalesce("s_score", "score").alias("score"))
 
 
 def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", least: float = 0.6, carried: tuple[str, ...] = ()) -> DataFrame:

@@ -524,6 +524,77 @@ def test_licences(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+GPL_HEADER = """/*
+ * frobnicate.c - frobnicates
+ * Copyright (C) 2019 Jane Doe
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main(void) { return frobnicate(); }
+"""
+BSD_FILE = """Copyright (c) 2020, The Regents of Somewhere. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+CLAUSE_3 = """
+3. Neither the name of Somewhere nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licences_of_standard_texts(spark):
+    rows = [
+        ("a/mit.py", "# SPDX-License-Identifier: MIT\nimport os\n", "MIT"),
+        ("a/apache.js", "// SPDX-License-Identifier: Apache-2.0\nlet x;", "Apache-2.0"),
+        ("a/gpl.c", "/* SPDX-License-Identifier: GPL-3.0-only */\nint x;", "GPL-3.0"),
+        ("a/bsd.h", "// SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+        ("a/cc.html", "<!-- SPDX-License-Identifier: CC-BY-4.0 -->", "CC-BY-4.0"),
+        ("a/dual.rs", "// spdx-license-identifier: mit OR Apache-2.0\nfn main() {}", "MIT OR Apache-2.0"),
+        ("b/gpl3.c", GPL_HEADER, "GPL-3.0"),
+        ("b/gpl2.c", GPL_HEADER.replace("version 3", "version 2"), "GPL-2.0"),
+        ("b/lgpl.c", GPL_HEADER.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), "LGPL-2.1"),
+        ("b/agpl.py", "\n".join("# " + x.strip("/* ") for x in GPL_HEADER.replace("GNU General", "GNU Affero General").split("\n")[:-2]) + "\nimport os", "AGPL-3.0"),
+        ("b/apache.py", '# Copyright 2020 Someone\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n\nimport os\n', "Apache-2.0"),
+        ("b/mpl.js", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */", "MPL-2.0"),
+        ("c/LICENSE", BSD_FILE.format(CLAUSE_3), "BSD-3-Clause"),
+        ("d/LICENSE", BSD_FILE.format(""), "BSD-2-Clause"),
+        ("e/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n", "GPL-2.0"),
+        ("f/LICENSE", "MIT License\n\nCopyright (c) 2021 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", "MIT"),
+        ("g/prose.txt", "They asked permission to redistribute the film.\nThe attribution of the painting is disputed.", None),
+        ("g/rights.txt", "Copyright 1999 by the author. All rights reserved, no permission is given.", None),
+    ]
+    out = licenses.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string"))
+    assert {r["path"]: r["own"] for r in out.collect()} == {p: name for p, _, name in rows}
+
+
 # --- pipeline ---
 
 
