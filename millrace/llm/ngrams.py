@@ -39,9 +39,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.llm.common import id_type, slices, stored, text_bytes
+from millrace.llm.common import WORD, id_type, slices, stored, text_bytes
 from millrace.llm.graph import components
 
 #: Bits of a parity sketch, in words of 64; large sets have a wide one besides.
@@ -149,7 +148,7 @@ class NgramJoin:
         self.rows = docs.select(F.col(id_col).alias("doc"), text_bytes(F.col(text_col).cast("string")).alias("body"))
         self.kind = id_type(self.rows, "doc")
         found = stored(self._scan(), "ngram-sets")
-        self.sets = found.where("tok IS NULL").select("doc", "node", "size", "sketch", "wide")
+        self.sets = found.where("tok IS NULL").select("doc", "node", "size", "sketch", "wide", "sig")
         self._frequent = self._order(found.where("tok IS NOT NULL"))
         classes = self.sets.where("size > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
         self.classes = stored(classes.withColumn("k", _key("node")), "ngram-classes")
@@ -185,10 +184,11 @@ class NgramJoin:
                     pa.concat_arrays([pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), nothing(pa.binary(), m)]),
                     pa.concat_arrays([pa.array([sketch(s, WIDE) if len(s) >= LARGE else None for s in sets], pa.binary()), nothing(pa.binary(), m)]),
                     pa.concat_arrays([nothing(pa.int64(), len(sets)), pa.array(tok, pa.int64())]),
+                    pa.concat_arrays([pa.array([hashlib.md5(b).digest() for b in batch.column(1).to_pylist()], pa.binary()), nothing(pa.binary(), m)]),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "node", "size", "sketch", "wide", "tok"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "node", "size", "sketch", "wide", "tok", "sig"])
 
-        return self.rows.mapInArrow(work, f"doc {self.kind}, node binary, size int, sketch binary, wide binary, tok bigint")
+        return self.rows.mapInArrow(work, f"doc {self.kind}, node binary, size int, sketch binary, wide binary, tok bigint, sig binary")
 
     def _order(self, often: DataFrame) -> np.ndarray:
         """The most frequent shingles, sorted by hash, with their counts (bounded: FREQUENT rows)."""
@@ -456,14 +456,18 @@ class NgramJoin:
         return found
 
     def components(self) -> DataFrame:
-        """A row a document: id, n_shingles, component_id (the least id that links reach), class (hex of its set)."""
+        """A row a document: id, n_shingles, component_id (the least id that links reach), class (hex of its set).
+
+        Besides ``root`` and ``sig``, for :func:`keep_one`: the component itself, as ids may be null or
+        used again, and the MD5 of the text.
+        """
         roots = stored(self.roots(), "ngram-roots")
         labelled = self.classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = labelled.join(least, "root").select("node", "component_id")
+        named = labelled.join(least, "root").select("node", "root", "component_id")
         out = self.sets.join(named, "node", "left")
         component = F.when(F.col("size") == 0, F.col("doc")).otherwise(F.col("component_id"))
-        return out.select(F.col("doc").alias(self.id_col), F.col("size").cast("bigint").alias("n_shingles"), component.alias("component_id"), F.lower(F.hex("node")).alias("class"))
+        return out.select(F.col("doc").alias(self.id_col), F.col("size").cast("bigint").alias("n_shingles"), component.alias("component_id"), F.lower(F.hex("node")).alias("class"), "root", "sig")
 
 
 def _key(node: str) -> Column:
@@ -471,9 +475,17 @@ def _key(node: str) -> Column:
     return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("bigint")
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their component, one of each; rows without words stay."""
-    chosen = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("chosen_id")).distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy("text"))
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("chosen_id")), "left_semi")
-    return kept.withColumn("rank_of_id", first).where("rank_of_id = 1").drop("rank_of_id")
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component of ``found`` (see :meth:`NgramJoin.components`); rows without words stay.
+
+    The row is told by its id and text, the least id first and null last. Rows that are equal in
+    both are one, the least of them.
+    """
+    text = text_bytes(F.col(text_col).cast("string"))
+    worded = F.rlike(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD))
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "sig")
+    chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.id").alias("chosen_id"), F.col("least.sig").alias("chosen_sig"))
+    signed = docs.where(worded).select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"), F.unhex(F.md5(text)).alias("own_sig"))
+    kept = signed.join(chosen, F.col("own_id").eqNullSafe(F.col("chosen_id")) & (F.col("own_sig") == F.col("chosen_sig")), "left_semi")
+    one = kept.groupBy("own_id", "own_sig").agg(F.min("row").alias("row")).select("row.*")
+    return one.unionByName(docs.where(~worded))

@@ -104,7 +104,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joins all documents with each other on 4-word shingles at a Jaccard similarity of 0.85."""
-    return ngrams.NgramJoin(_table(spark, sf_dir, "documents"), n=4, limit=ngrams.Threshold(85, 100)).components()
+    found = ngrams.NgramJoin(_table(spark, sf_dir, "documents"), n=4, limit=ngrams.Threshold(85, 100)).components()
+    return found.select("doc_id", "n_shingles", "component_id", "class")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

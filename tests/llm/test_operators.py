@@ -176,6 +176,19 @@ def test_ngrams_keep_one_of_each(spark):
     assert sorted(r["doc_id"] for r in ngrams.keep_one(df, join.components()).collect()) == [0, 99, 100, 101]
 
 
+def test_ngrams_keep_one_of_null_and_reused_ids(spark):
+    rng = random.Random(16)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, a + " x"), (None, b), (None, None), (None, ""), (5, c), (5, d), (5, d), (1, d + " x"), (7, e), (None, e), (8, f), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    join = ngrams.NgramJoin(df, n=5, limit=ngrams.Threshold(80, 100))
+    got = found(ngrams.keep_one(df, join.components()), "doc_id", "text")
+    one = {(None, a), (None, a + " x")} & set(got)
+    assert len(one) == 1
+    assert got == Counter([*one, (None, b), (None, None), (None, ""), (5, c), (1, d + " x"), (7, e), (8, f), (8, None)])
+
+
 def test_blocks_of_long_lists(spark, monkeypatch):
     """Lists longer than a block: chains whose ends differ too much, so that pivots alone don't connect all."""
     monkeypatch.setattr(ngrams, "BLOCK", 3)
