@@ -319,6 +319,16 @@ def test_language_by_brute_force(spark):
     assert right / len(rows) > 0.9
 
 
+def test_language_told_by_distance(spark):
+    rng = random.Random(17)
+    rows = [(i, " ".join("".join(rng.choices("abcde", k=rng.randint(1, 5))) for _ in range(40)), "x", "s", 0) for i in range(60)]
+    rows += [(100, "ж 123 !!", None, "s", 0), (101, "漢字かな " * 20, None, "s", 0), (102, "12 !!", "x", "s", 0), (103, None, "x", "s", 0), (104, "abc", None, "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = lambda d: sorted(r["doc_id"] for r in langid.told(d).collect())
+    assert kept(df) == [*range(60), 104]
+    assert kept(df.withColumn("lang", F.lit(None).cast("string"))) == [*range(60), 100, 101, 104]
+
+
 # --- chat ---
 
 
