@@ -112,7 +112,7 @@ def first_kept(nodes: DataFrame, edges: DataFrame, checkpoint=None, rounds: int
 
     ``edges`` are (a, b) with a < b. Each round keeps the nodes without an earlier neighbour among
     the undecided, drops their neighbours, and goes on with what is left; chains of dependent
-    decisions take a round a link. ``checkpoint`` cuts lineage and defaults to
+    decisions take a round a link, and more than ``rounds`` of these are an error. ``checkpoint`` cuts lineage and defaults to
     ``DataFrame.checkpoint``.
     """
     cut = checkpoint or (lambda df: df.checkpoint())
@@ -126,6 +126,9 @@ def first_kept(nodes: DataFrame, edges: DataFrame, checkpoint=None, rounds: int
         dropped.append(gone)
         out = gone.withColumnRenamed("id", "a")
         left = cut(left.join(out, "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").join(heads, "a", "left_anti").select("a", "b"))
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"first_kept did not settle in {rounds} rounds")
     kept = nodes
     for gone in dropped:
         kept = kept.join(gone, "id", "left_anti")

@@ -172,6 +172,13 @@ def test_first_kept_is_greedy(spark, temporary):
     assert sorted(r["id"] for r in dedup.first_kept(nodes, edges).collect()) == [1, 3, 5, 6]
 
 
+def test_first_kept_says_when_it_does_not_settle(spark, temporary):
+    nodes, edges = spark.createDataFrame([(i,) for i in range(6)], "id bigint"), spark.createDataFrame([(i, i + 1) for i in range(5)], "a bigint, b bigint")
+    assert sorted(r["id"] for r in dedup.first_kept(nodes, edges, rounds=3).collect()) == [0, 2, 4]
+    with pytest.raises(RuntimeError, match="did not settle"):
+        dedup.first_kept(nodes, edges, rounds=1)
+
+
 def test_semantic_pairs(spark):
     import random
 
