@@ -345,12 +345,12 @@ def test_chat_round_trip(spark):
     for r in chat.read_chats(formatted).collect():
         assert [(t["role"], t["text"]) for t in r["turns"]] == [(a, b) for _, a, b in sorted(expected[r["conv_id"]])]
     for r in formatted.collect():
-        at, shown = 0, []
+        at, shown, body = 0, [], r["formatted"].encode()
         for run in r["loss_runs"]:
             if run["counts"]:
-                shown.append(r["formatted"][at : at + run["n"]])
+                shown.append(body[at : at + run["n"]].decode())
             at += run["n"]
-        assert at == len(r["formatted"])
+        assert at == len(body)
         spoken = "".join(b for _, a, b in sorted(expected[r["conv_id"]]) if a == "assistant")
         assert "".join(shown).replace("\\l", "<").replace("\\s", "\\") == spoken
     for r in chat.chat_digests(formatted).collect():
@@ -361,6 +361,26 @@ def test_chat_round_trip(spark):
     assert chat.chat_digests(chat.format_chats(df.where("false"))).count() == 0
 
 
+def test_chat_digests_read_the_mask(spark):
+    """Another mask gives another digest of the loss, and nothing else changes."""
+    rows = [(1, 0, "user", "one é"), (1, 1, "assistant", "two <ü>"), (1, 2, "assistant", "three")]
+    formatted = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"))
+    right = chat.chat_digests(formatted).first()
+    flipped = formatted.withColumn("loss_runs", F.transform("loss_runs", lambda r: F.struct(r["n"].alias("n"), (~r["counts"]).alias("counts"))))
+    wrong = chat.chat_digests(flipped).first()
+    assert (right["loss_chars"], right["loss_sha256"]) == (12, sha("two <ü>three"))
+    assert wrong["loss_sha256"] == sha("<turn user>\none é</turn>\n<turn assistant>\n<next/></turn>\n")
+    assert right["turns_sha256"] == wrong["turns_sha256"]
+    assert "loss_runs" in chat.chat_digests(formatted)._jdf.queryExecution().optimizedPlan().toString() or "counts" in chat.chat_digests(formatted)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chat_of_one_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} é") for i in range(3001)]
+    out = chat.chat_digests(chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"))).first()
+    spoken = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert (out["n_turns"], out["loss_chars"], out["loss_sha256"]) == (3001, len(spoken), sha(spoken))
+
+
 def test_chat_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id bigint, turn int, role string, text string")
     plan = chat.chat_digests(chat.format_chats(df))._jdf.queryExecution().executedPlan().toString()
