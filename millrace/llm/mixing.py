@@ -1,30 +1,37 @@
 """Mixing sources to target weights, by blocks of fixed length.
 
 Method. The words of each source form one stream (documents in a fixed pseudorandom order) that is
-cut into blocks of ``block_words`` words. The mix is a sequence of output shards of a fixed number
-of slots. Each shard draws how many of its slots every source gets, multinomially from what the
-sources have left, so the totals are met exactly. The i-th slot of a source is mapped to a block by
-a pseudorandom permutation of the source's block numbers (a Feistel network with cycle walking),
-one permutation per pass over the source. Slots and blocks are then joined on (source, block), and
-blocks lead to documents, with the words of each that the block holds.
+cut into blocks of ``block_words`` words, the last of which may be short. The mix is a sequence of
+output shards of a fixed number of slots. Each shard draws how many of its slots every source gets,
+multinomially from what the sources have left, so the totals are met exactly. The i-th slot of a
+source is mapped to a block by a pseudorandom permutation of the numbers of the source's full blocks
+(a Feistel network with cycle walking), one permutation per pass over the source; the short block
+ends each pass. The last slot of a source takes only as many words of its block as the target has
+left, so that a source of a few words meets its target as well as a large one. Slots and blocks are
+then joined on (source, block), and blocks lead to documents, with the words of each that the block
+holds.
 
 Targets. Sources, in code-point order with null last, weigh 1, 2, 3, 1, ...; they share
 ``share`` of all words by weight, no source more than ``most`` times its own words, and what that
-frees is shared again by weight. Passes are whole permutations, so no block, hence no document, is
-taken more than ``most`` times.
+frees is shared again by weight. Each source takes its target, rounded to whole words. Passes are
+whole permutations, so no block, hence no document, is taken more than ``most`` times.
 
-The driver holds one row a source (the catalogue of the mix) and the draws of at most
-``GROUPS`` groups of shards; groups draw for their shards in parallel. All else is distributed, and
-every choice follows from hashes and seeds, so reruns agree.
+The driver holds one row a source (the catalogue of the mix) and the draws of groups of shards, of
+``GROUP_SHARDS`` each or, where these would need more than ``DRAWS`` numbers, of more; groups draw
+for their shards in parallel. All else is distributed, and every choice follows from hashes and
+seeds, so reruns agree.
 
 Defined cases: null text has no words, gets a row and is never taken; a null source is a source of
-its own; rows with equal ids and texts are documents of their own; an empty table gives an empty
-result; a source without words has target 0. Other columns are ignored.
+its own; rows with equal ids and texts are documents of their own, which are counted before they are
+placed and so never meet in one task as rows; very long texts span many blocks and are never cut
+but at words; ties in the order of a stream are between equal rows alone; an empty table gives an
+empty result; a source without words has target 0. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,15 +46,17 @@ from pyspark.sql.window import Window
 
 from millrace.llm.common import WORD, slices, stored, text_bytes
 
-#: Groups of shards for which the driver draws.
-GROUPS = 256
-#: Documents in a bucket of a source's stream, about; offsets are summed within and over buckets.
-BUCKET_ROWS = 20_000
+#: Shards in a group, the least number of groups where there are so many shards, and the most numbers
+#: that the driver draws for all groups.
+GROUP_SHARDS, GROUPS, DRAWS = 64, 256, 4_000_000
+#: Documents in a bucket of the streams, about, and from how many buckets on these grow; offsets are
+#: summed within and over buckets.
+BUCKET_ROWS, BUCKETS, GROWN_ROWS = 500, 1024, 100_000
 
 
 @dataclass(frozen=True)
 class Source:
-    """One row of the catalogue: number, name, weight, words, target, blocks and slots."""
+    """One row of the catalogue: number, name, weight, words, target, blocks, slots and the words of the last slot."""
 
     sid: int
     name: object
@@ -56,6 +65,7 @@ class Source:
     target: float
     blocks: int
     slots: int
+    last: int
 
 
 def targets(sizes: list[int], weights: list[int], share: float = 1.0, most: int = 3) -> list[float]:
@@ -117,7 +127,7 @@ def _keys(sid: np.ndarray, epoch: np.ndarray, seed: int) -> np.ndarray:
 class Mix:
     """A mix of ``docs``: its sized documents, catalogue, slots and spans."""
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 4096, share: float = 1.0, most: int = 3, seed: int = 7):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, shard_slots: int = 4096, share: float = 1.0, most: int = 3, seed: int = 7):
         self.spark: SparkSession = docs.sparkSession
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
         self.block_words, self.shard_slots, self.seed = block_words, shard_slots, seed
@@ -127,37 +137,50 @@ class Mix:
         self.sized = stored(self._placed(sized), "mix-places")
 
     def _catalogue(self, sized: DataFrame, share: float, most: int) -> list[Source]:
-        rows = sized.groupBy("source").agg(F.sum("size").alias("size")).orderBy(F.asc_nulls_last("source")).collect()
+        rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).orderBy(F.asc_nulls_last("source")).collect()
+        self.counted = rows
         sizes, weights = [r["size"] for r in rows], [1 + i % 3 for i in range(len(rows))]
         out = []
         for i, (row, size, target) in enumerate(zip(rows, sizes, targets(sizes, weights, share, most), strict=True)):
             blocks = -(-size // self.block_words)
-            slots = min(most * blocks, round(target * blocks / size)) if size else 0
-            out.append(Source(i, row["source"], weights[i], size, target, blocks, slots))
+            passes, rest = divmod(min(most * size, math.floor(target + 0.5)), size) if size else (0, 0)
+            # The slots of a partial pass are full but the last; that of a whole pass is the short block.
+            partial = -(-rest // self.block_words)
+            last = rest - (partial - 1) * self.block_words if partial else self.block_words
+            out.append(Source(i, row["source"], weights[i], size, target, blocks, passes * blocks + partial, last))
         return out
 
     def _placed(self, sized: DataFrame) -> DataFrame:
         """Documents with source number and offset: the words before it in its source's stream."""
         schema = "source string, sid int, source_size bigint, target double"
         plan = self.spark.createDataFrame([(s.name, s.sid, s.size, s.target) for s in self.catalogue], schema)
-        buckets = max(1, sized.count() // BUCKET_ROWS)
-        rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc", "sig"), F.lit(buckets)))
-        totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+        rows = sum(r["rows"] for r in self.counted)
+        buckets = 1 + min(rows // BUCKET_ROWS, BUCKETS + rows // GROWN_ROWS)
+        # Equal rows are one run of copies until each has its offset.
+        runs = sized.groupBy("doc", "sig", "source", "size").agg(F.count("*").alias("copies"))
+        runs = runs.withColumn("bucket", F.pmod(F.xxhash64("doc", "sig"), F.lit(buckets))).withColumn("run", F.col("size") * F.col("copies"))
+        totals = runs.groupBy("source", "bucket").agg(F.sum("run").alias("words"))
         before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
         within = Window.partitionBy("source", "bucket").orderBy("doc", "sig", "size").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        rows = rows.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        rows = rows.select("doc", "sig", F.col("source").alias("name"), "size", (F.col("base") + F.col("inner")).alias("offset"))
-        return rows.join(plan, F.col("name").eqNullSafe(F.col("source"))).select("doc", "sig", "sid", "size", "offset", "source_size", "target")
+        runs = runs.withColumn("inner", F.coalesce(F.sum("run").over(within), F.lit(0)))
+        runs = runs.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+        copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")
+        placed = runs.select("doc", "sig", F.col("source").alias("name"), "size", "base", "inner", copy)
+        placed = placed.withColumn("offset", F.col("base") + F.col("inner") + F.col("copy") * F.col("size"))
+        # A row a source, as the driver has them.
+        return placed.join(F.broadcast(plan), F.col("name").eqNullSafe(F.col("source"))).select("doc", "sig", "sid", "size", "offset", "source_size", "target")
 
     def slots(self) -> DataFrame:
-        """The mix as (shard, slot, sid, block): which block each slot of each shard holds."""
+        """The mix as (shard, slot, sid, block, room): which block each slot of each shard holds, and how many of its words."""
         left = np.array([s.slots for s in self.catalogue], dtype=np.int64)
-        blocks = np.array([s.blocks for s in self.catalogue], dtype=np.int64)
-        total, per, seed = int(left.sum()), self.shard_slots, self.seed
+        column = lambda values: np.array(list(values), dtype=np.int64)
+        slots, last, blocks = left, column(s.last for s in self.catalogue), column(s.blocks for s in self.catalogue)
+        full = column(s.size // self.block_words for s in self.catalogue)
+        total, per, seed, words = int(left.sum()), self.shard_slots, self.seed, self.block_words
         shards = -(-total // per)
-        bounds = np.linspace(0, shards, min(shards, GROUPS) + 1).astype(int) if shards else np.zeros(1, int)
+        groups_wanted = min(shards, max(GROUPS, min(-(-shards // GROUP_SHARDS), DRAWS // max(1, len(left)))))
+        bounds = np.linspace(0, shards, groups_wanted + 1).astype(int) if shards else np.zeros(1, int)
         rng, groups, given = np.random.default_rng(seed), [], np.zeros_like(left)
         for first, end in itertools.pairwise(bounds.tolist()):
             got = draw(rng, left - given, min(end * per, total) - first * per)
@@ -174,11 +197,15 @@ class Mix:
                     sid = np.repeat(np.arange(len(got)), got)
                     i = np.concatenate([np.arange(a, a + n) for a, n in zip(at, got, strict=True)])
                     epoch = i // np.maximum(blocks[sid], 1)
-                    block = permuted(i - epoch * blocks[sid], blocks[sid], _keys(sid, epoch, seed))
+                    block = i - epoch * blocks[sid]
+                    inner = np.flatnonzero(block < full[sid])
+                    block[inner] = permuted(block[inner], full[sid[inner]], _keys(sid[inner], epoch[inner], seed))
+                    room = np.where(i == slots[sid] - 1, last[sid], words)
                     rest, at = rest - got, at + got
-                    yield pd.DataFrame({"shard": shard, "slot": rng.permutation(len(sid)), "sid": sid, "block": block})
+                    yield pd.DataFrame({"shard": shard, "slot": rng.permutation(len(sid)), "sid": sid, "block": block, "room": room})
 
-        return frame.repartition(max(1, len(groups)), "first").mapInPandas(work, "shard int, slot int, sid int, block bigint")
+        # A group is a few numbers, so each task gets some of them by range: no hash makes a task of many.
+        return frame.repartitionByRange(max(1, len(groups)), "first").mapInPandas(work, "shard int, slot int, sid int, block bigint, room bigint")
 
     def spans(self) -> DataFrame:
         """What each slot takes of which document: slots joined with blocks.
@@ -189,10 +216,11 @@ class Mix:
         end = F.col("offset") + F.col("size")
         pieces = self.sized.where("size > 0").select("doc", "sig", "sid", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / b), F.floor((end - 1) / b))).alias("block"))
         start = F.greatest(F.col("offset"), F.col("block") * b)
-        pieces = pieces.select("doc", "sig", "sid", "offset", "block", (start - F.col("offset")).alias("start"), (F.least(end, (F.col("block") + 1) * b) - start).alias("words"))
+        pieces = pieces.select("doc", "sig", "sid", "offset", "block", (start - F.col("offset")).alias("start"), (start - F.col("block") * b).alias("at"), (F.least(end, (F.col("block") + 1) * b) - start).alias("words"))
         # Slots come from a small table of groups, which says nothing about their number: without
         # the hint Spark would take them for small and broadcast them.
-        return self.slots().hint("merge").join(pieces, ["sid", "block"])
+        joined = self.slots().hint("merge").join(pieces, ["sid", "block"]).withColumn("words", F.least("words", F.col("room") - F.col("at")))
+        return joined.where("words > 0").drop("room", "at")
 
     def taken(self) -> DataFrame:
         """A row a document: id, size, source_size, target, taken."""
@@ -215,7 +243,8 @@ class Mix:
         placed = self.sized.where("size > 0").withColumn("copy", number(("sid", "offset"))).join(spans.select("sid", "offset", "spans"), ["sid", "offset"]).select("doc", "sig", "copy", "spans")
         text = F.coalesce(F.col(self.text_col).cast("string"), F.lit(""))
         columns = [F.col(c).alias(f"c_{i}") for i, c in enumerate(carried)]
-        source = self.docs.select(F.col(self.id_col).alias("doc"), F.xxhash64(text).alias("sig"), text_bytes(text).alias("body"), *columns)
+        # Texts without words are never taken; they are left out before rows are numbered, as they may be many.
+        source = self.docs.where(F.rlike(text, F.lit(WORD))).select(F.col(self.id_col).alias("doc"), F.xxhash64(text).alias("sig"), text_bytes(text).alias("body"), *columns)
         source = source.withColumn("copy", F.row_number().over(Window.partitionBy("doc", "sig").orderBy(*([f"c_{i}" for i in range(len(carried))] or ["sig"]))))
         same = F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.sig") == F.col("r.sig")) & (F.col("l.copy") == F.col("r.copy"))
         joined = source.alias("l").join(placed.hint("shuffle_hash").alias("r"), same).select("l.doc", "l.body", F.col("r.spans.start").alias("starts"), F.col("r.spans.words").alias("words"), *(f"l.c_{i}" for i in range(len(carried))))

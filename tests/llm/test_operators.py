@@ -254,7 +254,7 @@ def test_mix(spark, empty):
         taken[source[r["doc_id"]]] += r["taken"]
         target[source[r["doc_id"]]] = r["target"]
     for s, t in target.items():
-        assert taken[s] == pytest.approx(t, rel=0.02)
+        assert taken[s] == int(t + 0.5)
     texts = Counter()
     for r in mix.texts().collect():
         n = Counter(WORD.findall(r["text"]))
@@ -266,6 +266,45 @@ def test_mix(spark, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def brute_mix(mix, rows):
+    """What each document gives, from the catalogue and the slots alone: streams, blocks and passes one word at a time."""
+    words = {(r["sid"], r["offset"] + k): (r["doc"], r["sig"], r["offset"]) for r in mix.sized.collect() for k in range(r["size"])}
+    taken, drawn = Counter(), Counter()
+    for r in mix.slots().collect():
+        drawn[r["sid"]] += 1
+        for k in range(r["block"] * mix.block_words, r["block"] * mix.block_words + r["room"]):
+            if (r["sid"], k) in words:
+                taken[words[r["sid"], k]] += 1
+    assert all(drawn[s.sid] == s.slots for s in mix.catalogue)
+    return Counter((doc, sum(n for d, n in taken.items() if d[0] == doc)) for doc in {i for i, *_ in rows})
+
+
+def test_mix_by_brute_force(spark):
+    """The query's rows against streams, targets and passes computed in Python."""
+    rng = random.Random(18)
+    rows = [(i, " ".join(f"w{k}" for k in range(rng.randint(0, 90))), rng.choice(["a", "b", None, "c"])) for i in range(150)]
+    rows += [(1000 + i, "seven words make up this small source", f"small{i}") for i in range(40)] + [rows[3]] * 5
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3), block_words=16, shard_slots=32)
+    got = Counter()
+    for r in mix.taken().collect():
+        got[r["doc_id"]] += r["taken"]
+    assert Counter(got.items()) == brute_mix(mix, rows)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = dict(zip(order, mixing.targets([sizes[s] for s in order], [1 + i % 3 for i in range(len(order))]), strict=True))
+    source, taken = {i: s for i, _, s in rows}, Counter()
+    for i, n in got.items():
+        taken[source[i]] += n
+    assert sum(target.values()) == pytest.approx(sum(sizes.values()))
+    assert all(taken[s] == int(target[s] + 0.5) <= 3 * sizes[s] for s in order)
+    # Streams are the sources' documents end to end, without gaps.
+    for sid, name in enumerate(order):
+        spans = sorted((r["offset"], r["size"]) for r in mix.sized.where(f"sid = {sid} AND size > 0").collect())
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) == sizes[name]
+
+
 def test_mix_of_edge_rows(edge, rows):
     out = mixing.mix_sources(edge)
     assert found(out, "doc_id", "size") == Counter((i, len(WORD.findall(t or ""))) for i, t, *_ in rows)
