@@ -12,9 +12,12 @@ path wins.
 Headers that wrap over lines, SPDX lines and whole licence texts are recognised, text by text, by
 :mod:`millrace.llm.notices`; where one of these fits a file best, it is the file's own licence.
 
-Defined cases: null text is empty and has no licence; null parts of a path are ``_``; ties go to
-the earlier template, and between licence files to the smaller path; a file is a (path, text) pair,
-so repeated rows get equal results; other columns than those named are ignored.
+Defined cases: null text is empty and has no licence; a null path is a file in no directory, which
+has its own licence and inherits none; very long texts are searched whole, by lines, paragraphs and
+comments; ties go to the earlier template, and between licence files to the smaller path; a file is
+a (path, text) pair, so repeated rows get equal results; other columns than those named are ignored.
+A directory of very many files is one row in the tables of directories; the join that gives each
+file its directory's licence has no texts and is left to Spark's handling of skewed joins.
 """
 
 from __future__ import annotations
@@ -90,7 +93,7 @@ def own_licences(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = files.select(F.col(path_col).alias("path"), F.xxhash64(text).alias("sig"), text.alias("text"))
     marked = F.filter(F.split("text", "\n"), lambda x: F.rlike(F.lower(x), F.lit(MARKER)))
-    units = F.when(F.rlike("path", F.lit(LICENCE_FILE)), F.concat(marked, F.array("text"))).otherwise(marked)
+    units = F.when(F.rlike(F.coalesce("path", F.lit("")), F.lit(LICENCE_FILE)), F.concat(marked, F.array("text"))).otherwise(marked)
     units = rows.select("path", "sig", F.explode(units).alias("unit"))
     numbered = stored(units.select("path", "sig", F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0)).alias("terms")).distinct().withColumn("unit", F.monotonically_increasing_id()), "licence-units")
     vectors, unknown = _vectors(spark)
@@ -104,8 +107,10 @@ def own_licences(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     best = scored.join(numbered.select("unit", "path", "sig"), "unit").groupBy("path", "sig").agg(F.max(F.struct("score", (-F.col("template")).alias("order"))).alias("best"))
     names = F.array(*(F.lit(x) for x, _ in TEMPLATES))
     lines = best.select("path", "sig", F.get(names, -F.col("best.order")).alias("licence"), F.col("best.score").alias("score"))
-    both = lines.join(standard_licences(rows, least), ["path", "sig"], "full")
-    return both.select("path", "sig", F.coalesce("s_licence", "licence").alias("licence"), F.coalesce("s_score", "score").alias("score"))
+    named = standard_licences(rows, least).select(F.col("path").alias("s_path"), F.col("sig").alias("s_sig"), "s_licence", "s_score")
+    both = lines.join(named, F.col("path").eqNullSafe(F.col("s_path")) & (F.col("sig") == F.col("s_sig")), "full")
+    own = F.col("sig").isNotNull()
+    return both.select(F.when(own, F.col("path")).otherwise(F.col("s_path")).alias("path"), F.coalesce("sig", "s_sig").alias("sig"), F.coalesce("s_licence", "licence").alias("licence"), F.coalesce("s_score", "score").alias("score"))
 
 
 def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", least: float = 0.6, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -117,12 +122,14 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", le
     top = ranked.groupBy("dir").agg(F.max("score").alias("top"))
     governed = ranked.join(top.withColumnRenamed("dir", "d"), (F.col("dir") == F.col("d")) & (F.col("score") == F.col("top"))).groupBy("dir").agg(F.min_by("licence", F.struct("path", "licence")).alias("dir_licence"))
     # Directories are far fewer than files, so a directory of many files is resolved once.
-    dirs = rows.select(parent(F.col("path")).alias("dir")).distinct()
+    dirs = rows.where("path IS NOT NULL").select(parent(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     lines = dirs.select("dir", F.explode(F.array_distinct(above)).alias("ancestor"))
     near = lines.join(governed.withColumnRenamed("dir", "ancestor"), "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "ancestor", "dir_licence")).alias("near"))
-    out = rows.withColumn("dir", parent(F.col("path"))).join(found, ["path", "sig"], "left").join(near, "dir", "left")
+    files_found = found.select(F.col("path").alias("f_path"), F.col("sig").alias("f_sig"), "licence", "score")
+    same = F.col("path").eqNullSafe(F.col("f_path")) & (F.col("sig") == F.col("f_sig"))
+    out = rows.withColumn("dir", parent(F.col("path"))).join(files_found, same, "left").join(near, "dir", "left")
     inherited = F.col("licence").isNull() & F.col("near").isNotNull()
     return out.select(
         F.col("path").alias(path_col),
