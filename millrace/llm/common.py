@@ -24,12 +24,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is the one of ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a
-    temporary folder takes its place.
+    It is the one of ``spark.checkpoint.dir``. Where that is unset and all runs in one process (tests
+    on one machine) a temporary folder takes its place; a cluster must name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return re.sub(r"^file:/(?!//)", "file:///", sc.getCheckpointDir())
 

@@ -14,7 +14,11 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def commit(store: fs.FileSystem, temporary: str, final: str) -> None:
-    """Gives a finished file its name; a second attempt at the same content replaces the first."""
+    """Gives a finished file its name; a second attempt at the same content replaces the first.
+
+    Between the two steps of a replacement the name is missing. No reader sees that, as readers open
+    only what a manifest lists, and the manifest is written when all tasks have finished.
+    """
     try:
         store.move(temporary, final)
     except OSError:

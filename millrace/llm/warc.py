@@ -12,7 +12,12 @@ and the references reach the writer as extra rows that sort right before their r
 
 Defined cases: null html is an empty payload; null url writes no target; a null id is written as
 no id, sorts first, and refers but is never referred to; of rows that repeat id and payload the
-first is the one described above and the others revisit it. Other columns are ignored.
+first is the one described above and the others revisit it. A very long payload is one record, held
+whole by its task; of equal ids with other urls or payloads the smaller url, then payload, comes
+first. Other columns are ignored.
+
+A payload that a third of all pages share is one row a task in the grouping of digests; the join that
+gives each of its pages the reference has no payloads and is left to Spark's handling of skewed joins.
 """
 
 from __future__ import annotations
@@ -194,8 +199,9 @@ def read_warc(manifest: DataFrame, folder: str, *, id_type_name: str = "bigint",
                 if rows:
                     yield batch_of(rows)
 
-    # One file a task where there are as many slots; files are bounded in size.
-    files = manifest.select("name", "records").repartition("name")
+    # One file a task, by range of names and with a fixed number of tasks, as a file is a small row
+    # that would otherwise be coalesced with others; files are bounded in size.
+    files = manifest.select("name", "records").repartitionByRange(max(1, manifest.count()), "name")
     found = files.mapInArrow(work, schema)
     extra = [F.col("payload")] if with_payload else []
     return found.select(F.col("page").cast(id_type_name).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(id_type_name).alias("refers_to"), *extra)
