@@ -522,6 +522,30 @@ def test_media_of_edge_rows(edge, empty, rows):
     assert media.media_columns(empty).count() == 0
 
 
+def test_media_features_by_brute_force(spark):
+    text = "abc é " * 500
+    row = media.media_columns(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    data = media.payload_of(text.encode())
+    mean, power = sum(data) / len(data), sum((b - 128) ** 2 for b in data) / len(data)
+    levels = Counter(b // 16 for b in data)
+    assert row["feature"] == f"mean={mean:.3f};rms={power**0.5:.3f};hist=" + ",".join(str(levels[k]) for k in range(16))
+
+
+def test_media_that_differs_from_its_digest(spark):
+    """A header or a chunk that is not what was written is noticed when it is read."""
+    from millrace.llm.common import shared_path
+    from millrace.llm.files import opened
+
+    folder = shared_path(spark, "media-test")
+    store, path = opened(folder)
+    store.create_dir(path, recursive=True)
+    recipes = media.write_media(spark.createDataFrame([(1, "some text " * 300)], "doc_id bigint, text string"), folder)
+    assert media.read_media(recipes, folder).count() == 1
+    for column in ("header", "payload_sha"):
+        with pytest.raises(Exception, match="differs from its digest"):
+            media.read_media(recipes.withColumn(column, F.concat(F.col(column), F.lit(b"x"))), folder).collect()
+
+
 def test_media_chunks_are_stored_once(spark):
     from millrace.llm.common import shared_path
     from millrace.llm.files import opened
@@ -541,6 +565,7 @@ def test_media_chunks_are_stored_once(spark):
 def test_warc(spark, tmp_path):
     big = "x" * 300
     rows = [(5, "http://a/ü\r\nb", big), (3, None, big), (9, "u", big), (9, "u", big), (1, "s", "short"), (2, "s", "short"), (4, "n", None), (None, "z", big), (None, None, None), (7, "l", "é" * 200_000)]
+    rows += [(11, "u2", "y" * 200), (11, "u1", "y" * 200), (11, "u1", "z" * 200), (12, None, "z" * 200)]
     rows += [(100 + i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(50)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit("x") for c in ("id", "kind", "digest", "first", "page", "body", "n")}).repartition(4)
     folder = f"file://{tmp_path}/warc"
@@ -652,6 +677,22 @@ CLAUSE_3 = """
 """
 
 
+def test_licences_of_null_paths_ties_and_long_texts(spark):
+    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    rows = [
+        (None, apache), (None, "nothing"), (None, GPL_HEADER), (None, None), ("top.c", "int x;"),
+        ("p/LICENSE-b", mit), ("p/LICENSE-a", apache), ("p/x.c", "int x;"),
+        ("q/long.txt", "word " * 300_000 + "\n" + mit + "\n" + "tail " * 300_000), ("q/empty", ""),
+    ]
+    out = licenses.scan(spark.createDataFrame(rows, "path string, text string").repartition(3))
+    got = Counter((r["path"], r["own"], r["licence"], r["inherited_from"]) for r in out.collect())
+    assert got == Counter([
+        (None, "Apache-2.0", "Apache-2.0", None), (None, None, None, None), (None, "GPL-3.0", "GPL-3.0", None), (None, None, None, None), ("top.c", None, None, None),
+        ("p/LICENSE-b", "MIT", "MIT", None), ("p/LICENSE-a", "Apache-2.0", "Apache-2.0", None), ("p/x.c", None, "Apache-2.0", "p"),
+        ("q/long.txt", "MIT", "MIT", None), ("q/empty", None, None, None),
+    ])
+
+
 def test_licences_of_standard_texts(spark):
     rows = [
         ("a/mit.py", "# SPDX-License-Identifier: MIT\nimport os\n", "MIT"),
