@@ -13,8 +13,8 @@ name, so results don't depend on partitions.
 
 Defined cases: null text and text without a letter is ``und`` with score 0, as is everything if
 there is nothing to learn from; a null language is not learned from; a null id counts as an empty
-one where ids split the data; repeated rows are learned from and predicted one by one; other
-columns are ignored.
+one where ids split the data; repeated rows are learned from and predicted one by one; very long
+texts are counted whole, one at a time; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ text; :func:`apply_bitmaps` turns bitmaps into text or digests.
 
 Defined cases: null or empty text is one empty line, which stays; keys shorter than ``min_chars``
 code points stay; a document is an (id, text) pair, so an exactly repeated row is the same
-document and rows that share only an id are different ones; a null id is an id like any other.
+document and rows that share only an id are different ones; a null id is an id like any other; a very long text is cut into lines by one task,
+and its lines are rows like others; ties in the order of occurrences are between equal rows alone.
 Other columns of the input are ignored.
 """
 
@@ -129,7 +130,7 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         "line-runs",
     )
     place = F.struct("doc", "sig", "pos")
-    # Two rows a partition at most, hence small enough to broadcast whatever the input's size.
+    # Two rows of a few dozen bytes a partition at most: 10 MB for 100,000 partitions.
     summaries = found.where(F.col("kind") == SUMMARY)
     frequent = F.broadcast(summaries.groupBy("k1", "k2").agg(F.sum("n").alias("docs"), F.min(place).alias("head")).where(F.col("docs") >= min_docs).drop("docs"))
     drops = found.where(F.col("kind") == DROP).select("doc", "sig", "pos")

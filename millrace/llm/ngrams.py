@@ -25,7 +25,16 @@ never the result.
 
 Defined cases: null or empty text and text without words has the empty set, which links with
 nothing; fewer than n words are one shingle; equal rows are in one class; null ids belong to the
-component of their text, and are its id only if it has no other; other columns are ignored.
+component of their text, and are its id only if it has no other; a very long text is one set, held
+whole by the task that reads it; ties (rows of one id) are told apart by their texts; other columns
+are ignored.
+
+Limits. Inside lists a set goes by the first 64 bits of its hash; two sets whose names collide would
+have to be in one list to hide a link, which is far less likely than a collision of 64 bits. Lists of
+many sets that look alike but stay below the threshold cost a comparison of sketches a pair, in blocks
+of a bounded size that are dealt over all tasks; no pair leaves a task unless its sketches allow a link.
+The filter that finds the texts to verify has a fixed size; when more sets are needed than it can tell
+apart, up to three further passes over all texts are made, and the result is the same.
 """
 
 from __future__ import annotations
@@ -456,7 +465,7 @@ class NgramJoin:
         return found
 
     def components(self) -> DataFrame:
-        """A row a document: id, n_shingles, component_id (the least id that links reach), class (hex of its set).
+        """A row a document: id, n_shingles, component_id (the least id that links reach), class_id (the least id with an equal set, its own without words).
 
         Besides ``root`` and ``sig``, for :func:`keep_one`: the component itself, as ids may be null or
         used again, and the MD5 of the text.
@@ -464,10 +473,10 @@ class NgramJoin:
         roots = stored(self.roots(), "ngram-roots")
         labelled = self.classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = labelled.join(least, "root").select("node", "root", "component_id")
+        named = labelled.join(least, "root").select("node", "root", "component_id", F.col("least").alias("class_id"))
         out = self.sets.join(named, "node", "left")
         component = F.when(F.col("size") == 0, F.col("doc")).otherwise(F.col("component_id"))
-        return out.select(F.col("doc").alias(self.id_col), F.col("size").cast("bigint").alias("n_shingles"), component.alias("component_id"), F.lower(F.hex("node")).alias("class"), "root", "sig")
+        return out.select(F.col("doc").alias(self.id_col), F.col("size").cast("bigint").alias("n_shingles"), component.alias("component_id"), F.when(F.col("size") == 0, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), "root", "sig")
 
 
 def _key(node: str) -> Column:

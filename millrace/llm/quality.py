@@ -8,7 +8,8 @@ fold over the collected patterns (a bounded number, whatever the corpus). The po
 probability of quality given the votes replaces filters that all have to pass.
 
 Defined cases: null or empty text has no words and fails the base; rows are judged one by one, so
-repeated rows and ids stay; an empty table gives an empty result; other columns are ignored.
+repeated rows and ids stay; a very long text is counted whole, in the row that has it; ties of the
+posterior with the threshold are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat, graph, langid, licenses, lines, media, mixing, ngrams, quality, warc
+from tests.llm.conftest import CLASHING
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -324,6 +325,21 @@ def test_language_of_edge_rows(edge, empty, rows):
     assert langid.identify(empty).count() == 0
 
 
+def brute_grams(text):
+    t = re.sub("\x01+", "\x01", "\x01" + "".join(c if c.isalpha() else "\x01" for c in text.lower()) + "\x01")
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(t) - n + 1):
+            g = t[i : i + n]
+            if (n == 1 and g != "\x01") or (n == 2 and g != "\x01\x01") or (n == 3 and g[1] != "\x01"):
+                out[g] += 1
+    return out
+
+
+def brute_top(counts, length):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], [0] * (3 - len(x[0])) + list(map(ord, x[0]))))[:length]]
+
+
 def test_language_by_brute_force(spark):
     rng = random.Random(9)
     alphabets = {"x": "abcdeé", "y": "abcfgß", "z": "漢字かな"}
@@ -332,17 +348,7 @@ def test_language_by_brute_force(spark):
         lang = rng.choice(sorted(alphabets))
         rows.append((i, " ".join("".join(rng.choices(alphabets[lang], k=rng.randint(1, 6))) for _ in range(rng.randint(1, 40))) + rng.choice(["", " 12!", "\n--"]), lang))
 
-    def grams(text):
-        t = re.sub("\x01+", "\x01", "\x01" + "".join(c if c.isalpha() else "\x01" for c in text.lower()) + "\x01")
-        out = Counter()
-        for n in (1, 2, 3):
-            for i in range(len(t) - n + 1):
-                g = t[i : i + n]
-                if (n == 1 and g != "\x01") or (n == 2 and g != "\x01\x01") or (n == 3 and g[1] != "\x01"):
-                    out[g] += 1
-        return out
-
-    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], [0] * (3 - len(x[0])) + list(map(ord, x[0]))))[:50]]
+    grams, top = brute_grams, lambda c: brute_top(c, 50)
     total = defaultdict(Counter)
     for i, t, lang in rows:
         if zlib.crc32(str(i).encode()) % 3 != 1:
@@ -451,6 +457,27 @@ def test_quality_of_edge_rows(edge, empty, rows):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_is_native(spark):
+    plans = [quality.features(spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")), quality.quality_rules(spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string"))]
+    assert not any(re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString()) for df in plans)
+
+
+def test_quality_kept_follows_the_posterior(spark):
+    """From votes to kept by brute force: the posterior of each document's votes under the estimated state."""
+    rng = random.Random(20)
+    words = ["the", "of", "and", "river", "stone", "%%", "!!", "LOUD", "is"]
+    rows = [(i, " ".join(rng.choices(words, weights=[3, 3, 3, 4, 4, rng.choice([0, 3]), rng.choice([0, 4]), rng.choice([0, 9]), 2], k=60))) for i in range(200)]
+    counts = quality.features(spark.createDataFrame(rows, "doc_id bigint, text string")).cache()
+    voted = counts.withColumn("votes", quality.votes(quality.RULES))
+    state = quality.estimate(voted.groupBy("votes").agg(F.count("*").alias("n")), len(quality.RULES)).first()["state"]
+    votes = {r["doc_id"]: r["votes"] for r in voted.collect()}
+    rate = lambda c, j, v: state[c][j][{-1: "no", 1: "yes", 0: "none"}[v]]
+    for r in quality.judge(counts).collect():
+        g = state["p"] * np.prod([rate("good", j, v) for j, v in enumerate(votes[r["doc_id"]])])
+        b = (1 - state["p"]) * np.prod([rate("bad", j, v) for j, v in enumerate(votes[r["doc_id"]])])
+        assert r["quality"] == pytest.approx(g / (g + b)) and r["kept"] == (not r["base_failed"] and g / (g + b) >= 0.5)
+
+
 def test_quality_separates(spark):
     rng = random.Random(11)
     sentence = lambda: " ".join(rng.choices(["the", "of", "and", "river", "stone", "is", "was", "green", "with", "house", "to", "in"], k=12)).capitalize() + "."
@@ -721,7 +748,87 @@ def test_licences_of_standard_texts(spark):
 # --- pipeline ---
 
 
-def test_pipeline(spark, tmp_path, edge, vocabulary):
+def brute_told(rows):
+    """(id, text, lang, ...) of documents that the language stage keeps."""
+    total = defaultdict(Counter)
+    learn = [r for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 3 != 1]
+    for _, t, lang, *_ in learn:
+        if lang is not None and t is not None:
+            total[lang].update(brute_grams(t))
+    profiles = {x: {g: r for r, g in enumerate(brute_top(c, 300))} for x, c in total.items() if c}
+
+    def judged(text):
+        own = brute_top(brute_grams(text or ""), 300)
+        if not own:
+            return "und", 0.0
+        d, lang = min((sum(abs(r - p[g]) if g in p else 300 for r, g in enumerate(own)), x) for x, p in sorted(profiles.items()))
+        return lang, 1 - d / (300 * len(own))
+
+    right = [round(score, 4) for r in learn for lang, score in [judged(r[1])] if lang == r[2]]
+    bound = float(np.percentile(right, 1)) / 2
+    return [r for r in rows for lang, score in [judged(r[1])] if lang != "und" and score >= bound]
+
+
+def brute_first_lines(rows, min_docs):
+    """(id, text) with the first occurrence of each frequent line alone, texts with nothing left gone."""
+    key = lambda line: line.strip(" \t\n\r\x0b\x0c").translate({c: c + 32 for c in range(65, 91)})
+    docs = sorted({(r[0], r[1] or "") for r in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
+    places = defaultdict(list)
+    for d in docs:
+        for k, line in enumerate(d[1].split("\n")):
+            if key(line):
+                places[key(line)].append((d, k))
+    gone = {x for found in places.values() if len({d for d, _ in found}) >= min_docs for x in found[1:]}
+    out = {d: [line for k, line in enumerate(d[1].split("\n")) if (d, k) not in gone] for d in docs}
+    return Counter((r[0], "\n".join(out[r[0], r[1] or ""])) for r in rows if len(out[r[0], r[1] or ""]) == len((r[1] or "").split("\n")) or "\n".join(out[r[0], r[1] or ""]))
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path, vocabulary):
+    """Each stage on its own input, with nulls, empty and long texts, repeated rows and clashing columns."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(19)
+    text = lambda n=60: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 5))) for _ in range(n))
+    twin, long = text(), text(20_000)
+    rows = [(i, text() + ("\nShared footer of all  " if i % 2 else ""), "en", f"s{i % 3}", 0) for i in range(40)]
+    rows += [(100, twin, "en", "s1", 0), (101, twin + " end", "en", None, 0), (101, twin + " end", "en", None, 0), (102, long, "en", "s2", 0), (103, long + " tail", None, "s2", 0)]
+    rows += [(104, None, "en", "s0", 0), (105, "", "en", "s0", 0), (106, "123 !!", "en", "s0", 0), (107, "漢字かな " * 40, None, "s0", 0), (None, text(), "en", "s0", 0), (None, text(), None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select("*", *(F.lit("x").alias(c) for c in CLASHING)).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    plain = lambda df: [tuple(r) for r in df.select("doc_id", "text", "lang", "source").collect()]
+    with_clash = lambda df: df.select("*", *(F.lit("x").alias(c) for c in CLASHING)).repartition(3)
+    one = stage["language"](spark, docs, "").cache()
+    assert Counter(plain(one)) == Counter(r[:4] for r in brute_told(rows))
+    two = stage["line_dedup"](spark, with_clash(one), "").cache()
+    assert Counter(r[:2] for r in plain(two)) == brute_first_lines(plain(one), 10)
+    three = stage["near_duplicates"](spark, with_clash(two), "").cache()
+    distinct = sorted({r[:2] for r in plain(two)}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    kept = {r[:2] for r in plain(three)}
+    assert kept <= set(distinct) and len(kept) == three.count()
+    number = [(k, t) for k, (_, t) in enumerate(distinct)]
+    component = {k: c for (k, _, c), _ in brute_components(number, 5, 80, 100).items()}
+    assert sorted(Counter(component[distinct.index(x)] for x in kept).values()) == [1] * len(set(component.values()))
+    by_id = {c: min((distinct[k] for k in component if component[k] == c), key=lambda r: (r[0] is None, r[0] or 0))[0] for c in component.values()}
+    assert all(x[0] == by_id[component[distinct.index(x)]] for x in kept)
+    four = stage["mix"](spark, with_clash(three), "").cache()
+    mix = mixing.Mix(three)
+    want = brute_mix(mix, plain(three))
+    got = Counter()
+    for i, t, *_ in plain(four):
+        got[i] += len(WORD.findall(t))
+    assert Counter((i, n) for i, n in got.items()) == Counter({k: n for k, n in want.items() if k[1]})
+    library = Tokenizer.from_file(vocabulary)
+    five = stage["encode"](spark, with_clash(four), "")
+
+    def encoded(t):
+        ids = library.encode(t, add_special_tokens=False).ids
+        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(library.decode(ids, skip_special_tokens=False))
+
+    assert found(five, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == Counter((i, *encoded(t)) for i, t, *_ in plain(four))
+
+
+def test_pipeline(spark, tmp_path, vocabulary):
     import corpus_pipeline
 
     rng = random.Random(13)
