@@ -8,11 +8,17 @@ in rounds: whoever has no undecided earlier neighbour stays, and its later neigh
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions.text import CJK, script, utf16_length
+from millrace.storage import cut
 
 #: Fixed values of the token hash: its start as two 32-bit halves, and the low part of its
 #: multiplier, which is 2 ** 40 + 435.
@@ -64,7 +70,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("first")), "key").select("id", "first")
 
 
-def kept_ids(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", checkpoint=None) -> DataFrame:
+def kept_ids(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id) of the rows that stay when each row goes that nearly repeats an earlier one that stays.
 
     Later copies of a text always go, as they link to whatever their first one links to; so the
@@ -73,7 +79,26 @@ def kept_ids(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", te
     if threshold <= 0:
         return docs.agg(F.min(id_col).alias("id")).where("id IS NOT NULL")
     firsts = classes(docs, id_col, text_col).select(F.col("first").alias("id")).distinct()
-    return first_kept(firsts, links(docs, min(threshold, 1.0), id_col=id_col, text_col=text_col), checkpoint)
+    return first_kept(firsts, links(docs, min(threshold, 1.0), id_col=id_col, text_col=text_col))
+
+
+def merged_sources(docs: DataFrame, kept: DataFrame, edges: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, merged_from): the sources that each kept row's removed copies and neighbours had, once each, by name.
+
+    A removed row's source goes to the first kept row that its text is linked with. Sources of a
+    group are distinct before they are gathered, so a row is as long as the list of its sources.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), source.alias("source")).join(classes(docs, id_col, text_col), "id")
+    alive = kept.select(F.col("id").alias("keeper"))
+    near = edges.join(alive, F.col("a") == F.col("keeper")).groupBy("b").agg(F.min("keeper").alias("near"))
+    home = rows.join(alive, F.col("first") == F.col("keeper"), "left").join(near, F.col("first") == F.col("b"), "left")
+    home = home.select("id", "source", F.coalesce("keeper", "near").alias("keeper")).where("id <> keeper AND source IS NOT NULL")
+    return home.select("keeper", "source").distinct().groupBy(F.col("keeper").alias("id")).agg(F.array_sort(F.collect_list("source")).alias("merged_from"))
+
+
+def _pieces(apart: int) -> int:
+    """Into how many pieces 48 bits are cut, so that with ``apart`` bits different one piece is equal; one where pieces get too short."""
+    return apart + 1 if apart <= 11 else 1
 
 
 def links(docs: DataFrame, threshold: float = 0.9, skip_cross_script: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,91 +106,169 @@ def links(docs: DataFrame, threshold: float = 0.9, skip_cross_script: bool = Tru
 
     Equal texts are one class, of which the first row stands for the others, so that a text of many
     copies makes no pairs among them; :func:`classes` has the membership.
+
+    Linked texts share one of four bands of 16 bits. They also differ in few of the other 48 bits, so
+    one of some pieces of these is equal, and their numbers of words are within the threshold of each
+    other, so they are in the same or in neighbouring steps of a geometric scale. All of these are in
+    the key that texts meet on, which is exact and leaves few texts a key at any size of the corpus.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("key"))
-    distinct = rows.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    described = distinct.select("id", "key", utf16_length(F.col("text")).alias("len"), script(F.col("text")).alias("script"), F.array_distinct(tokens(F.col("text"))).alias("words")).join(simhash(distinct, "id", "text"), "id")
-    half = F.when(F.col("band") < 2, F.col("lo")).otherwise(F.col("hi"))
-    value = F.when(F.col("band") % 2 == 0, half.bitwiseAND(F.lit(0xFFFF))).otherwise(F.shiftright(half, 16))
-    banded = described.select("id", "len", "script", "hi", "lo", F.explode(F.array(*map(F.lit, range(4)))).alias("band")).withColumn("value", value)
-    a, b = banded.alias("a"), banded.alias("b")
+    distinct = cut(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text")).drop("key"), "distinct")
+    words = F.array_distinct(tokens(F.col("text")))
+    described = cut(distinct.select("id", utf16_length(F.col("text")).alias("len"), script(F.col("text")).alias("script"), words.alias("words")).join(simhash(distinct, "id", "text"), "id"), "described")
+    most = int(64 * (1 - threshold))
+    parts = [F.col("lo").bitwiseAND(F.lit(0xFFFF)), F.shiftright("lo", 16), F.col("hi").bitwiseAND(F.lit(0xFFFF)), F.shiftright("hi", 16)]
+    pieces = _pieces(most)
+    ends = [48 * i // pieces for i in range(pieces + 1)]
+
+    def keys(band: int) -> list[Column]:
+        x, y, z = (p for i, p in enumerate(parts) if i != band)
+        rest = x.bitwiseOR(F.shiftleft(y, 16)).bitwiseOR(F.shiftleft(z, 32))
+        bits = [F.shiftright(rest, lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(ends, ends[1:], strict=False)] if pieces > 1 else [F.lit(0).cast("bigint")]
+        return [F.struct(F.lit(band * pieces + i).alias("at"), parts[band].alias("value"), piece.alias("piece")) for i, piece in enumerate(bits)]
+
+    n = F.size("words")
+    step = F.when(n == 0, -1).otherwise(F.floor(F.ln(n) / math.log(1 / threshold) + 1e-9)) if 0.05 < threshold < 1 else F.when(n == 0, -1).otherwise(n if threshold >= 1 else 0)
+    keyed = described.select("id", "len", "script", "hi", "lo", n.alias("n"), step.cast("bigint").alias("step"), F.explode(F.array(*(k for band in range(4) for k in keys(band)))).alias("k"))
+    wide = keyed.withColumn("step", F.explode(F.when((F.col("n") > 0) & F.lit(0.05 < threshold < 1), F.sequence(F.col("step") - 1, F.col("step") + 1)).otherwise(F.array("step"))))
+    a, b = wide.alias("a"), keyed.alias("b")
     longest = F.greatest("a.len", "b.len")
-    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id"))
+    near = (F.col("a.k") == F.col("b.k")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.id") < F.col("b.id"))
     near &= (F.col("a.len") == 0) | (F.col("b.len") == 0) | (F.abs(F.col("a.len") - F.col("b.len")) / longest <= 0.5)
+    near &= (F.col("a.n") == 0) & (F.col("b.n") == 0) | (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
     if skip_cross_script:
         one = F.array(F.lit("cjk"), F.lit("latin"))
         near &= ~(F.array_contains(one, F.col("a.script")) & F.array_contains(one, F.col("b.script")) & (F.col("a.script") != F.col("b.script")) & (F.col("a.len") > 0) & (F.col("b.len") > 0))
     apart = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
-    near &= apart <= int(64 * (1 - threshold))
+    near &= apart <= most
     pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     side = lambda x: described.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_words", "b_words"))
     total = F.size("a_words") + F.size("b_words")
     similarity = F.when(total == 0, 1.0).when((F.size("a_words") == 0) | (F.size("b_words") == 0), 0.0).otherwise(common / (total - common))
-    return both.where(similarity >= threshold).select("a", "b")
+    return cut(both.where(similarity >= threshold).select("a", "b"), "links")
 
 
-def first_kept(nodes: DataFrame, edges: DataFrame, checkpoint=None, rounds: int = 1000) -> DataFrame:
+def first_kept(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The (id) of ``nodes`` that stay: the first independent set in the order of ids.
 
     ``edges`` are (a, b) with a < b. Each round keeps the nodes without an earlier neighbour among
-    the undecided, drops their neighbours, and goes on with what is left; chains of dependent
-    decisions take a round a link, and more than ``rounds`` of these are an error. ``checkpoint`` cuts lineage and defaults to
-    ``DataFrame.checkpoint``.
+    the undecided, drops their neighbours, and goes on with what is left, until nothing is; the least
+    undecided node is decided in every round, so the rounds end.
     """
-    cut = checkpoint or (lambda df: df.checkpoint())
-    left, dropped = cut(edges), []
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    left, dropped = cut(edges, "undecided"), []
+    while not left.isEmpty():
         later = left.select(F.col("b").alias("a")).distinct()
         heads = left.select("a").distinct().join(later, "a", "left_anti")
-        gone = cut(left.join(heads, "a").select(F.col("b").alias("id")).distinct())
+        gone = cut(left.join(heads, "a").select(F.col("b").alias("id")).distinct(), "dropped")
         dropped.append(gone)
         out = gone.withColumnRenamed("id", "a")
-        left = cut(left.join(out, "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").join(heads, "a", "left_anti").select("a", "b"))
-    else:
-        if not left.isEmpty():
-            raise RuntimeError(f"first_kept did not settle in {rounds} rounds")
-    kept = nodes
-    for gone in dropped:
-        kept = kept.join(gone, "id", "left_anti")
-    return kept
+        # Heads whose neighbours are all gone leave with them, as an edge goes with either end.
+        left = cut(left.join(out, "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"), "undecided")
+    if not dropped:
+        return nodes
+    return nodes.join(reduce(DataFrame.unionByName, dropped), "id", "left_anti")
 
 
 def exact_first(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key, by ``order``."""
-    w = Window.partitionBy("_key").orderBy(order)
-    return df.withColumn("_key", key).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_key", "_rank")
+    """The first row of each key, by ``order``, combined before the shuffle."""
+    return df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+
+
+#: Vectors that stand for regions, and vectors that one comparison takes from each side.
+PIVOTS, BLOCK = 256, 2048
 
 
 def semantic_pairs(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(a, b, similarity) of vectors with a cosine over ``limit``: exact.
 
-    Unit vectors that near differ by at most sqrt(2 - 2 * limit) in every coordinate, so each is
-    put into a grid of that width over its first coordinates and meets the cells next to its own.
+    A bounded number of vectors, those with the least hashes of ids, are pivots. Each vector belongs to
+    its nearest pivot's region, and is also dealt to every region whose border is near enough for a
+    vector beyond it to reach the limit: unit vectors within e of each other, on two sides of the
+    plane between pivots p and q, have a distance from it of at most e each. Regions are compared in
+    blocks, by matrix products; vectors without regions of their own (dense in all directions) meet all
+    others, as there is no bound that would tell them apart.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+    unit = cut(_unit_vectors(vectors, id_col, vector_col, kind), "unit-vectors")
+    # At most PIVOTS rows.
+    pivots = [np.frombuffer(r["u"]) for r in unit.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
+    if not pivots:
+        return unit.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).where("false")
+    centers = np.unique(np.stack(pivots), axis=0)
+    reach = math.sqrt(max(0.0, 2 - 2 * limit)) + 1e-9
+    between = np.sqrt(np.maximum(0.0, 2 - 2 * centers @ centers.T))
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(batch.num_rows, -1)
+            dots = u @ centers.T
+            own = dots.argmax(axis=1)
+            # 2 * (distance from the plane) * between = |u - p|^2 - |u - own|^2 = 2 * (u.own - u.p)
+            near = dots.max(axis=1)[:, None] - dots <= reach * between[own] + 1e-9
+            row, cell = np.nonzero(near)
+            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(cell == own[row])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "u", "cell", "home"])
+
+    dealt = cut(unit.select("id", "u").mapInArrow(regions, f"id {kind}, u binary, cell int, home boolean"), "regions")
+    # A row a region.
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = dealt.join(F.broadcast(sizes), "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Each vector at home meets every vector of its region, block by block.
+    left = rows.where("home").select("cell", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.lit(True).alias("home"), "id", "u")
+    right = rows.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("own").alias("y"), F.lit(False).alias("home"), "id", "u")
+    ordered = left.unionByName(right).repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "home")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(part: list[tuple]) -> Iterator[pa.RecordBatch]:
+            sides = [[(i, np.frombuffer(u)) for home, i, u in part if home is side] for side in (True, False)]
+            if not all(sides):
+                return
+            (p, x), (q, y) = ((([i for i, _ in s]), np.stack([u for _, u in s])) for s in sides)
+            found = x @ y.T
+            at = [(i, j) for i, j in zip(*np.nonzero(found > limit - 1e-9), strict=True) if p[i] != q[j]]
+            if at:
+                a, b = [min(p[i], q[j]) for i, j in at], [max(p[i], q[j]) for i, j in at]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([float(found[i, j]) for i, j in at])], names=["a", "b", "similarity"])
+
+        held, last = [], None
+        for batch in batches:
+            for cell, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cell, x, y) != last:
+                    yield from pairs(held)
+                    held, last = [], (cell, x, y)
+                held.append(tuple(row))
+        yield from pairs(held)
+
+    found = ordered.mapInArrow(compared, f"a {kind}, b {kind}, similarity double").select("a", "b").distinct()
+    sides = [unit.select(F.col("id").alias(x), F.col("v").alias(f"{x}_v"), F.col("norm").alias(f"{x}_norm")) for x in "ab"]
+    both = found.join(sides[0], "a").join(sides[1], "b")
+    dot = F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return both.select("a", "b", (dot / (F.col("a_norm") * F.col("b_norm"))).alias("similarity")).where(F.col("similarity") > limit)
+
+
+def _unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
+    """(id, v, norm, u): vectors with a length, as doubles, and as the bytes of unit vectors."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = [(np.array(v) / n).tobytes() for v, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(units, pa.binary())], names=["id", "v", "norm", "u"])
+
+    return rows.mapInArrow(work, f"id {kind}, v array<double>, norm double, u binary")
+
+
+def semantic_kept(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id) of the vectors that stay when each goes that is over ``limit`` near to an earlier one that stays.
+
+    Rows without a vector or without a length are near to nothing and stay.
     """
-    unit = vectors.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = unit.withColumn("norm", norm).where("norm > 0").withColumn("u", F.transform("v", lambda x: F.try_divide(x, F.col("norm"))))
-    width = (2 - 2 * limit) ** 0.5
-    dims = 3
-    cell = [F.floor(F.element_at("u", i + 1) / width).cast("int") for i in range(dims)]
-    gridded = unit.select("id", "u", *(c.alias(f"g{i}") for i, c in enumerate(cell)))
-    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{k}") for k, d in enumerate(x))) for x in _neighbours(dims)))
-    spread = gridded.select(F.col("id").alias("b"), F.col("u").alias("v"), *(F.col(f"g{i}").alias(f"h{i}") for i in range(dims)), F.explode(steps).alias("d"))
-    spread = spread.select("b", "v", *((F.col(f"h{i}") + F.col(f"d.d{i}")).alias(f"g{i}") for i in range(dims)))
-    joined = gridded.join(spread, [f"g{i}" for i in range(dims)]).where(F.col("id") < F.col("b"))
-    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return joined.select(F.col("id").alias("a"), "b", dot.alias("similarity")).where(F.col("similarity") > limit)
-
-
-def _neighbours(dims: int) -> list[tuple[int, ...]]:
-    import itertools
-
-    return list(itertools.product((-1, 0, 1), repeat=dims))
+    pairs = semantic_pairs(vectors, limit, id_col, vector_col).select("a", "b")
+    return first_kept(vectors.select(F.col(id_col).alias("id")), pairs)
 
 
 def centroids(vectors: DataFrame, group_col: str = "label", vector_col: str = "embedding") -> DataFrame:

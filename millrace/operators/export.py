@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions.text import csv_escape, html_escape, tsv_escape
+from millrace.operators.ordering import numbered
 from millrace.schema import all_messages, export_text
+from millrace.storage import cut
 
 
 def _pruned_json(*names: str) -> Column:
@@ -63,16 +64,11 @@ def openai_lines(items: DataFrame) -> DataFrame:
 def sharegpt_lines(items: DataFrame) -> DataFrame:
     """(item_id, line): {"id", "conversations"}; the id is the item's place among all, from 1."""
     said = F.transform("messages", lambda m: F.struct(F.when(m["role"] == "assistant", "gpt").when(m["role"] == "system", "system").otherwise("human").alias("from"), m["content"].alias("value")))
-    numbered = items.select("item_id", all_messages().alias("messages")).withColumn("id", numbered_by("item_id"))
-    rows = numbered.where(F.size("messages") > 0).select("item_id", "id", said.alias("conversations"))
+    placed = numbered(items.select("item_id", all_messages().alias("messages")), ["item_id"], "id")
+    rows = placed.where(F.size("messages") > 0).select("item_id", "id", said.alias("conversations"))
     return rows.select("item_id", F.to_json(F.struct("id", "conversations")).alias("line"))
 
 
-def numbered_by(order: str) -> Column:
-    """Row numbers by one column, from 1."""
-    return F.row_number().over(Window.orderBy(order))
-
-
 def _exchanges(messages: Column) -> tuple[Column, Column]:
     """The system text, and pairs (user, assistant) at every second place after it, assistant null if it isn't one."""
     has_system = F.get(messages, 0)["role"] == "system"
@@ -144,14 +140,19 @@ def size_estimate(items: DataFrame, layout: Callable[[DataFrame], DataFrame], sa
 
 
 def parts(items: DataFrame, most: int = 100_000, source: str | None = None) -> DataFrame:
-    """(item_id, file, part): where each item goes; with ``source`` a file a source, numbered as sources appear."""
+    """(item_id, file, part): where each item goes; with ``source`` a file a source, numbered as sources appear.
+
+    Items are numbered over ranges, those of a source from its first one on, so a source that has
+    most of the items is no single task.
+    """
     if source is None:
-        return items.select("item_id", F.lit(0).cast("bigint").alias("file"), F.floor((numbered_by("item_id") - 1) / most).cast("bigint").alias("part"))
-    named = items.withColumn("_source", F.coalesce(F.nullif(source, F.lit("")), F.concat(F.lit("unknown-"), F.col("item_id").cast("string"))))
-    first = named.groupBy("_source").agg(F.min("item_id").alias("_first"))
-    order = first.withColumn("file", numbered_by("_first").cast("bigint") - 1).drop("_first")
-    within = F.row_number().over(Window.partitionBy("_source").orderBy("item_id"))
-    return named.withColumn("_n", within).join(order, "_source").select("item_id", "file", F.floor((F.col("_n") - 1) / most).cast("bigint").alias("part"))
+        placed = numbered(items.select("item_id"), ["item_id"], "_n")
+        return placed.select("item_id", F.lit(0).cast("bigint").alias("file"), F.floor((F.col("_n") - 1) / most).cast("bigint").alias("part"))
+    named = items.select("item_id", F.coalesce(F.nullif(source, F.lit("")), F.concat(F.lit("unknown-"), F.col("item_id").cast("string"))).alias("_source"))
+    placed = cut(numbered(named, ["_source", "item_id"], "_n"), "parts")
+    sources = numbered(placed.groupBy("_source").agg(F.min("item_id").alias("_first"), F.min("_n").alias("_start")), ["_first"], "_file")
+    joined = placed.join(sources.select("_source", "_start", "_file"), "_source")
+    return joined.select("item_id", (F.col("_file") - 1).alias("file"), F.floor((F.col("_n") - F.col("_start")) / most).cast("bigint").alias("part"))
 
 
 def dataset_stats(items: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from millrace.operators import ordering
 
 
 def distribution(df: DataFrame, value: str, *groups: str) -> DataFrame:
@@ -107,10 +108,12 @@ def chain_hash(*parts: Column) -> Column:
 
 def verify_chain(log: DataFrame, order: str, body: Column, prev: str = "prev_hash", own: str = "hash") -> DataFrame:
     """One row: whether every entry's hash is that of its body and follows the one before; else the first break."""
-    w = Window.orderBy(order)
-    rows = log.select(F.col(order).alias("seq"), (F.col(own) != body).alias("altered"), F.col(prev).alias("prev"), F.lag(own).over(w).alias("before"), F.row_number().over(w).alias("n"))
-    broken = F.when(F.col("altered") | ((F.col("n") > 1) & (F.col("prev") != F.col("before"))), F.col("n") - 1)
-    return rows.agg(F.count("*").alias("entries"), F.min(broken).cast("bigint").alias("broken_at")).withColumn("valid", F.col("broken_at").isNull())
+    rows = log.select(F.col(order).alias("seq"), (F.col(own) != body).alias("altered"), F.col(prev).alias("prev"), F.col(own).alias("own"))
+    chained = ordering.lagged(ordering.in_ranges(rows, ["seq"]), "own", "before")
+    chained = ordering.with_before(chained, _rows=(F.count("*"), "sum"))
+    place = F.col("_rows") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    broken = F.when(F.col("altered") | ((place > 0) & (F.col("prev") != F.col("before"))), place)
+    return chained.agg(F.count("*").alias("entries"), F.min(broken).cast("bigint").alias("broken_at")).withColumn("valid", F.col("broken_at").isNull())
 
 
 def djb2(text: Column) -> Column:
@@ -121,12 +124,19 @@ def djb2(text: Column) -> Column:
 
 
 def failure_streaks(calls: DataFrame, provider: str, order: list, failed: Column, limit: int = 3) -> DataFrame:
-    """Adds the number of failures in a row up to each call, and whether that makes the provider unhealthy."""
-    w = Window.partitionBy(provider).orderBy(*order)
-    island = calls.withColumn("_failed", failed).withColumn("_island", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(w))
-    within = Window.partitionBy(provider, "_island").orderBy(*order)
-    streak = F.sum(F.when(F.col("_failed"), 1).otherwise(0)).over(within)
-    return island.withColumn("streak", streak.cast("bigint")).withColumn("unhealthy", F.col("streak") >= limit).drop("_failed", "_island")
+    """Adds the number of failures in a row up to each call, and whether that makes the provider unhealthy.
+
+    A streak is the distance to the last call that did not fail, or to the provider's first one, in
+    the order of all calls; so calls of one provider are spread over many tasks.
+    """
+    rows = ordering.numbered(calls.withColumn("_failed", failed), [provider, *order], "_n")
+    rows = rows.withColumn("_reset", F.when(~F.col("_failed"), F.col("_n")))
+    placed = ordering.running_max(ordering.in_ranges(rows, ["_n"]), "_reset", "_last")
+    start = placed.groupBy(provider).agg(F.min("_n").alias("_first")).withColumnRenamed(provider, "_provider")
+    joined = placed.join(start, F.col(provider).eqNullSafe(F.col("_provider")))
+    streak = F.col("_n") - F.greatest(F.coalesce("_last", F.lit(0)), F.col("_first") - 1)
+    own = [c for c in calls.columns]
+    return joined.select(*own, streak.cast("bigint").alias("streak"), (streak >= limit).alias("unhealthy"))
 
 
 def votes(samples: DataFrame, question: str, position: str, answer: str) -> DataFrame:
@@ -152,30 +162,48 @@ def response_score(text: Column, tokens: Column) -> Column:
     return one(n > 0, 10) + one(n > 50, 10) + one(n > 200, 5) + F.coalesce(shape, F.lit(0)) + one((tokens > 0) & (tokens < n), 5) - one(F.rlike(text, F.lit("(?i)error|sorry|cannot|unable")), 20) - one(F.trim(text) == "", 50)
 
 
+def _first_by(df: DataFrame, keys: list, order: Column) -> DataFrame:
+    """The row of each key that is least in ``order``, combined before the shuffle."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+
+
+def _best_first(score: Column, *order) -> Column:
+    """An order with the greatest score first, null last, then ``order``."""
+    return F.struct(score.isNull().alias("a"), (-score).alias("b"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
+
+
 def best_of(results: DataFrame, prompt: str, position: str, score: str) -> DataFrame:
     """The result with the greatest score for each prompt, the first of equals."""
-    w = Window.partitionBy(prompt).orderBy(F.desc(score), position)
-    return results.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return _first_by(results, [prompt], _best_first(F.col(score), position))
 
 
 def few_shot(examples: DataFrame, k: int, order: str, kind: str | None = None) -> DataFrame:
     """The ``k`` best examples with different inputs, none missing quality last; ties by ``order``."""
     rows = examples if kind is None else examples.where(F.col("processing_type") == kind)
     quality = F.coalesce("quality_score", F.lit(0.0))
-    once = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("input").orderBy(quality.desc(), order))).where("_rank = 1").drop("_rank")
+    once = _first_by(rows, ["input"], _best_first(quality, order))
     return once.orderBy(quality.desc(), order).limit(k)
 
 
 def filter_graded(graded: DataFrame, threshold: float, order: str, least: int = 0) -> DataFrame:
-    """Adds accepted: scores from ``threshold``, and if these are fewer than ``least`` the best of the others."""
-    w = Window.orderBy(F.desc("_ok"), F.desc("score"), order)
-    return graded.withColumn("_ok", F.col("score") >= threshold).withColumn("accepted", F.col("_ok") | (F.row_number().over(w) <= least)).drop("_ok")
+    """Adds accepted: scores from ``threshold``, and if these are fewer than ``least`` the best of the others.
+
+    Only the ``least`` best rows are ordered; the last of them is the bound that all others are held against.
+    """
+    ok = F.col("score") >= threshold
+    good = F.coalesce(ok, F.lit(False))
+    if least <= 0:
+        return graded.withColumn("accepted", good)
+    place = F.struct((~good).alias("a"), F.col("score").isNull().alias("b"), (-F.col("score")).alias("c"), F.col(order).alias("d"))
+    best = graded.select(place.alias("_place")).orderBy("_place").limit(least)
+    # One row.
+    bound = best.agg(F.max("_place").alias("_bound"))
+    return graded.join(F.broadcast(bound), F.lit(True)).withColumn("accepted", good | F.coalesce(place <= F.col("_bound"), F.lit(False))).drop("_bound")
 
 
 def latest(df: DataFrame, key: str, order: list) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """The last row of each key, combined before the shuffle."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def last_n(df: DataFrame, order: list, n: int) -> DataFrame:

@@ -1,16 +1,22 @@
 """Token budgets, batches, splits, rankings of models, caches and pages.
 
-Folds over the ordered chunks of a session run in that session's own row.
+Folds over the ordered chunks of a session stream these in order through one task, with a state of
+a few numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.ordering import numbered
+from millrace.storage import cut
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -22,31 +28,81 @@ class Budget:
     least: int = 256
 
 
+def _in_order(chunks: DataFrame, session: str, order: str, value: Column, schema: str, start, step) -> DataFrame:
+    """A fold over the chunks of each session, in order, that returns a row a chunk.
+
+    Sessions are dealt to tasks and streamed in order; what is held is a session's state and a
+    batch. ``step(state, value)`` returns the next state and the columns that ``schema`` adds.
+    """
+    rows = chunks.select(F.col(session).alias("s"), F.col(order).alias("o"), value.alias("v")).repartition("s").sortWithinPartitions("s", "o", "v")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
+            out = []
+            for s, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if s != now:
+                    now, state = s, start()
+                state, row = step(state, v)
+                out.append(row)
+            added = [pa.array(c) for c in zip(*out, strict=True)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *added], names=["s", "o", *(f"x{i}" for i in range(len(added)))])
+
+    columns = [c.split() for c in schema.split(", ")]
+    out = rows.mapInArrow(work, f"s {kinds['s']}, o {kinds['o']}, " + ", ".join(f"x{i} {kind}" for i, (_, kind) in enumerate(columns)))
+    return out.select(F.col("s").alias(session), F.col("o").alias(order), *(F.col(f"x{i}").alias(name) for i, (name, _) in enumerate(columns)))
+
+
 def plan_budget(chunks: DataFrame, session: str, order: str, tokens: str, budget: Budget = Budget()) -> DataFrame:
     """(session, order, prompt_tokens, output_tokens, skipped): chunks in order take what is left.
 
     A chunk that nothing is left for is skipped and takes nothing, so later and smaller ones may
-    still fit: a fold, not a running sum.
+    still fit: a fold, not a running sum. A null number of tokens counts as none.
     """
-    b = budget
-    items = chunks.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("bigint").alias("t")))).alias("items"))
-    state = f"named_struct('used', 0L, 'plan', cast(array() as array<struct<o:{chunks.schema[order].dataType.simpleString()},t:bigint,out:bigint>>))"
-    left = f"({b.session}L - s.used - {b.reserve}L - x.t)"
-    out = f"if({left} <= 0, 0L, least({b.most}L, greatest({b.least}L, {left})))"
-    step = f"(s, x) -> named_struct('used', if({out} = 0, s.used, least({b.session}L, s.used + x.t + {out})), 'plan', concat(s.plan, array(named_struct('o', x.o, 't', x.t, 'out', {out}))))"
-    plan = items.select(session, F.explode(F.expr(f"aggregate(items, {state}, {step}).plan")).alias("p"))
-    return plan.select(session, F.col("p.o").alias(order), F.col("p.t").alias("prompt_tokens"), F.col("p.out").alias("output_tokens"), (F.col("p.out") == 0).alias("skipped"))
+
+    def step(used: int, t: int) -> tuple[int, tuple]:
+        left = budget.session - used - budget.reserve - t
+        out = 0 if left <= 0 else min(budget.most, max(budget.least, left))
+        return (min(budget.session, used + t + out) if out else used), (t, out, out == 0)
+
+    return _in_order(chunks, session, order, F.coalesce(F.col(tokens).cast("bigint"), F.lit(0).cast("bigint")), "prompt_tokens bigint, output_tokens bigint, skipped boolean", lambda: 0, step)
+
+
+def plan_by_priority(chunks: DataFrame, session: str, order: str, tokens: str, priority: str, budget: Budget = Budget()) -> DataFrame:
+    """(session, order, output_tokens): each chunk's share by priority of what the session has beside its prompts.
+
+    Chunks take their shares in order until the session is used up; a null priority counts as 1.
+    Sessions without room or priority give 0.
+    """
+    weight = F.coalesce(F.col(priority).cast("double"), F.lit(1.0))
+    prompt = F.coalesce(F.col(tokens).cast("bigint"), F.lit(0).cast("bigint"))
+    rows = chunks.select(F.col(session).alias("s"), F.col(order).alias("o"), prompt.alias("t"), weight.alias("w"))
+    totals = rows.groupBy("s").agg(F.sum("t").alias("prompts"), F.sum("w").alias("weights")).withColumnRenamed("s", "of")
+    room = budget.session - budget.reserve - F.col("prompts")
+    share = F.when((F.col("weights") > 0) & (room > 0), F.floor(F.col("w") / F.col("weights") * room))
+    joined = rows.join(totals, F.col("s").eqNullSafe(F.col("of"))).select(F.col("s").alias(session), F.col("o").alias(order), F.struct("t", share.cast("bigint").alias("share")).alias("_v"))
+
+    def step(used: int, v: dict) -> tuple[int, tuple]:
+        if v["share"] is None or used >= budget.session:
+            return used, (0,)
+        out = min(budget.most, max(budget.least, v["share"]))
+        return (min(budget.session, used + v["t"] + out) if out > 0 else used), (max(out, 0),)
+
+    return _in_order(joined, session, order, F.col("_v"), "output_tokens bigint", lambda: 0, step)
 
 
 def pack_batches(chunks: DataFrame, session: str, order: str, length: str, most: int = 8, room: int = 32_000) -> DataFrame:
     """(session, order, batch): chunks in order, ``most`` a batch, with 3 * length + 50 each within ``room``."""
-    kind = chunks.schema[order].dataType.simpleString()
-    items = chunks.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (3 * F.col(length) + 50).cast("bigint").alias("c")))).alias("items"))
-    state = f"named_struct('n', 0L, 'size', 0L, 'batch', 0L, 'rows', cast(array() as array<struct<o:{kind},batch:bigint>>))"
-    new = f"(s.n > 0 AND (s.n >= {most} OR s.size + x.c > {room}))"
-    step = f"(s, x) -> named_struct('n', if({new}, 1L, s.n + 1), 'size', if({new}, x.c, s.size + x.c), 'batch', if({new}, s.batch + 1, s.batch), 'rows', concat(s.rows, array(named_struct('o', x.o, 'batch', if({new}, s.batch + 1, s.batch)))))"
-    rows = items.select(session, F.explode(F.expr(f"aggregate(items, {state}, {step}).rows")).alias("r"))
-    return rows.select(session, F.col("r.o").alias(order), F.col("r.batch").alias("batch"))
+
+    def step(state: tuple[int, int, int], size: int) -> tuple[tuple, tuple]:
+        n, held, batch = state
+        if n and (n >= most or held + size > room):
+            n, held, batch = 0, 0, batch + 1
+        return (n + 1, held + size, batch), (batch,)
+
+    return _in_order(chunks, session, order, (3 * F.coalesce(F.col(length), F.lit(0)) + 50).cast("bigint"), "batch bigint", lambda: (0, 0, 0), step)
 
 
 def split(df: DataFrame, key: Column, train: float, validation: float, test: float, seed: int = 42) -> DataFrame:
@@ -147,12 +203,13 @@ def eligible(providers: DataFrame, regions: list[str] | None = None, scope: str
 def admit(files: DataFrame, extensions: list[str], order: str, most_bytes: int = 100 << 20, most_files: int = 100) -> DataFrame:
     """Adds outcome: added, skipped (a name again, or over the number of files) or rejected (kind, size)."""
     kind = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
-    ok = kind.isin(*extensions) & (F.col("size") <= most_bytes)
-    first = F.row_number().over(Window.partitionBy("name", "_ok").orderBy(order)) == 1
-    rows = files.withColumn("_ok", ok).withColumn("_first", F.col("_ok") & first)
-    place = F.sum(F.when(F.col("_first"), 1).otherwise(0)).over(Window.orderBy(order))
-    outcome = F.when(~F.col("_ok"), "rejected").when(~F.col("_first") | (place > most_files), "skipped").otherwise("added")
-    return rows.withColumn("outcome", outcome).drop("_ok", "_first")
+    ok = F.coalesce(kind.isin(*extensions) & (F.col("size") <= most_bytes), F.lit(False))
+    rows = cut(numbered(files.withColumn("_ok", ok), [order], "_n"), "admitted")
+    firsts = rows.where("_ok").groupBy("name").agg(F.min("_n").alias("_n"))
+    placed = numbered(firsts.select("_n"), ["_n"], "_place")
+    joined = rows.join(placed, "_n", "left")
+    outcome = F.when(~F.col("_ok"), "rejected").when(F.col("_place").isNull() | (F.col("_place") > most_files), "skipped").otherwise("added")
+    return joined.withColumn("outcome", outcome).select(*files.columns, "outcome")
 
 
 def template_for(templates: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace import schema
 from millrace.functions import text as T
-from millrace.operators import chunking, dedup, export, generate, metrics, parsing, planning, privacy
+from millrace.operators import chunking, dedup, export, generate, metrics, ordering, parsing, planning, privacy
 from millrace.operators import validators as V
 from millrace.sources import readers
+from millrace.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,16 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """Cuts a lineage in the shared folder, or in a temporary one where none is set."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
-
-
 # --- quality ---------------------------------------------------------------------------------
 
 
@@ -303,7 +293,7 @@ dropped AS (
 SELECT id AS doc_id FROM texts WHERE id NOT IN (SELECT unnest(list_transform(d, lambda x: x[1])) FROM dropped WHERE d IS NOT NULL)
 """)
 def near_dup_keep(spark, sf_dir):
-    return dedup.kept_ids(table(spark, sf_dir, "documents"), checkpoint=_shared).select(F.col("id").alias("doc_id"))
+    return dedup.kept_ids(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"))
 
 
 @query("""
@@ -659,9 +649,8 @@ def audit_summary(spark, sf_dir):
 def audit_chain_verify(spark, sf_dir):
     """A log made of events, in which the entry of event 777 was altered."""
     body = lambda kind: metrics.chain_hash(F.col("event_id").cast("string"), kind)
-    w = Window.orderBy("event_id")
     log = _events(spark, sf_dir).select("event_id", "event_type", body(F.col("event_type")).alias("hash"))
-    log = log.withColumn("prev_hash", F.coalesce(F.lag("hash").over(w), F.lit("0")))
+    log = ordering.lagged(ordering.in_ranges(log, ["event_id"]), "hash", "prev_hash").withColumn("prev_hash", F.coalesce("prev_hash", F.lit("0")))
     altered = log.withColumn("event_type", F.when(F.col("event_id") == 777, "altered").otherwise(F.col("event_type")))
     return metrics.verify_chain(altered, "event_id", body(F.col("event_type")))
 
@@ -741,7 +730,7 @@ def streaming_hourly(spark, sf_dir):
     from millrace.streaming import streams
 
     events = table(spark, sf_dir, "events")
-    folder = f"{_root(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = streams.files(spark, sf_dir, events.schema, pathGlobFilter="events.parquet", recursiveFileLookup="false")
     averages = streams.bucket_averages(stream, "ts", "1 hour", "value")
     streams.run_to_table(averages, f"{folder}/out", f"{folder}/checkpoint", ["bucket"])
@@ -749,15 +738,6 @@ def streaming_hourly(spark, sf_dir):
     return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", F.round("average", 6).alias("average"), "peak")
 
 
-def _root(spark) -> str:
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return sc.getCheckpointDir()
-
-
 # --- segmentation, parsing, generation -------------------------------------------------------
 
 
