@@ -81,6 +81,12 @@ def script(c: Column) -> Column:
     return F.when(cjk & ~latin & ~arabic, "cjk").when(latin & ~cjk & ~arabic, "latin").when(arabic & ~cjk & ~latin, "arabic").otherwise("mixed")
 
 
+#: What code, mathematics, tables and images look like to the two rules below.
+DIFFICULT_CODE, DIFFICULT_MATHS = r"```|function\s|class\s|def\s", r"\$[^$]+\$|\\frac|\\sum|\\int"
+CODE, MATHS = r"```|`[^`]+`|function\s|class\s|def\s|import\s|require\(", r"\$[^$]+\$|\\frac|\\sum|\\int|\\sqrt"
+TABLE_ROW, TABLE_RULE, IMAGE = r"\|.*\|.*\|", r"\|[-:\s]+\|", r"!\[.*\]\(.*\)|<img|data:image/"
+
+
 def difficulty(c: Column) -> Column:
     """easy, medium or hard, from length, sentences, word length, code and mathematics."""
     length = utf16_length(c)
@@ -90,8 +96,8 @@ def difficulty(c: Column) -> Column:
         F.when(length > 2000, 2).when(length > 500, 1).otherwise(0)
         + one(F.regexp_count(c, F.lit(r"[.!?]+")) > 10)
         + one(average > 6)
-        + one(F.rlike(c, F.lit(r"```|function\s|class\s|def\s")))
-        + one(F.rlike(c, F.lit(r"\$[^$]+\$|\\frac|\\sum|\\int")), 2)
+        + one(F.rlike(c, F.lit(DIFFICULT_CODE)))
+        + one(F.rlike(c, F.lit(DIFFICULT_MATHS)), 2)
     )
     return F.when(score >= 4, "hard").when(score >= 2, "medium").otherwise("easy")
 
@@ -133,10 +139,10 @@ def topic_words(c: Column) -> Column:
 def chunk_traits(c: Column) -> Column:
     """Struct of what a model has to cope with: code, mathematics, tables, images, language, complexity."""
     length = utf16_length(c)
-    code = F.rlike(c, F.lit(r"```|`[^`]+`|function\s|class\s|def\s|import\s|require\("))
-    maths = F.rlike(c, F.lit(r"\$[^$]+\$|\\frac|\\sum|\\int|\\sqrt"))
-    table = F.rlike(c, F.lit(r"\|.*\|.*\|")) & F.rlike(c, F.lit(r"\|[-:\s]+\|"))
-    image = F.rlike(c, F.lit(r"!\[.*\]\(.*\)|<img|data:image/"))
+    code = F.rlike(c, F.lit(CODE))
+    maths = F.rlike(c, F.lit(MATHS))
+    table = F.rlike(c, F.lit(TABLE_ROW)) & F.rlike(c, F.lit(TABLE_RULE))
+    image = F.rlike(c, F.lit(IMAGE))
     language = F.when(F.rlike(c, F.lit(r"[\u4E00-\u9FFF]")), "zh").when(F.rlike(c, F.lit(r"[\u3040-\u309F\u30A0-\u30FF]")), "ja").when(F.rlike(c, F.lit(r"[\uAC00-\uD7AF]")), "ko").otherwise("en")
     multi = F.rlike(c, F.lit(r"[\u4E00-\u9FFF\u3040-\u309F\u30A0-\u30FF\uAC00-\uD7AF]")) & F.rlike(c, F.lit("[a-zA-Z]"))
     complexity = F.when((length > 5000) | maths | code, "hard").when((length > 2000) | table, "medium").otherwise("easy")
@@ -165,10 +171,14 @@ def html_escape(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Named entities as characters, the ampersand last."""
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    """Named and decimal entities of ASCII as characters, the ampersand last."""
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")):
         c = F.replace(c, F.lit(entity), F.lit(plain))
-    return c
+    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{1,7});"), F.lit(1)))
+    valid = F.filter(numbers, lambda n: (n.cast("int") > 0) & (n.cast("int") < 0x110000) & ~n.cast("int").between(0xD800, 0xDFFF))
+    utf32 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")
+    decoded = F.aggregate(valid, c, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), utf32(n)))
+    return F.replace(F.when(F.contains(c, F.lit("&#")), decoded).otherwise(c), F.lit("&amp;"), F.lit("&"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -207,3 +217,91 @@ def redact_log(c: Column) -> Column:
     ):
         c = F.regexp_replace(c, ascii_bounded(pattern), mark)
     return c
+
+
+def hash32(c: Column) -> Column:
+    """Signed 32-bit hash (times 31 plus the UTF-16 unit) of a text."""
+    add = lambda h, unit: F.pmod(h * 31 + unit, F.lit(1 << 32))
+
+    def step(h: Column, ch: Column) -> Column:
+        point = F.ascii(ch).cast("bigint")
+        high = F.lit(0xD800) + F.shiftright(point - 0x10000, 10)
+        low = F.lit(0xDC00) + (point - 0x10000).bitwiseAND(F.lit(0x3FF))
+        return F.when(point < 0x10000, add(h, point)).otherwise(add(add(h, high), low))
+
+    value = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("bigint"), step)
+    return F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value)
+
+
+def size_text(size: Column) -> Column:
+    """A number of bytes in the largest unit up to GB, with two decimals at most."""
+    unit = F.when(size == 0, 0).otherwise(F.floor(F.log2(size.cast("double")) / 10 + 1e-12)).cast("int")
+    value = F.round(size / F.pow(F.lit(1024.0), unit), 2)
+    shown = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
+    label = F.when(unit == 0, F.when(value == 1, "byte").otherwise("bytes")).when(unit == 1, "KB").when(unit == 2, "MB").otherwise("GB")
+    return F.concat_ws(" ", F.when(size == 0, "0").otherwise(shown), label)
+
+
+#: Languages that are written from right to left.
+RTL = ("ar", "arc", "dv", "fa", "ha", "he", "khw", "ks", "ku", "ps", "sd", "ug", "ur", "yi")
+
+
+def right_to_left(locale: Column) -> Column:
+    """Whether a locale's language is written from right to left."""
+    return F.split(F.lower(F.trim(locale)), "-")[0].isin(*RTL)
+
+
+#: What begins a prompt's request to think first, and the headings that end it.
+THINKING = (
+    "Before producing", "internally verify", "internal verification", "complete internal verification", "内部校验", "内部校驗", "comprobación interna",
+    "vérification interne", "interne Überprüfung", "verifica interna", "verificação interna", "内部検証", "남부 검증",
+)
+OUTPUT_HEADINGS = ("OUTPUT FORMAT", "输出格式", "Formato de salida", "Format de sortie", "Ausgabeformat", "出力形式", "출력 형식")
+
+
+def without_thinking(prompt: Column) -> Column:
+    """A prompt without its first request to think, up to the heading of the output's format; unchanged without such a heading."""
+    opening = rf"(?:^|\n)\s*(?:\d+\.\s*)?(?:{'|'.join(THINKING)})"
+    closing = rf"\n\s*(?:{'|'.join(OUTPUT_HEADINGS)})"
+    pattern = rf"(?isu)\A(.*?){opening}.*?(?={closing})"
+    return F.regexp_replace(prompt, pattern, "$1\n")
+
+
+def valid_url(url: Column) -> Column:
+    """Whether an address is one of the web: a scheme, a host, and no blanks in these."""
+    return F.rlike(F.trim(F.coalesce(url, F.lit(""))), F.lit(r"(?i)^https?:/*[^\s/?#\\<>^|%\[\]@:]+(?::\d{0,5})?(?:[/?#].*)?$"))
+
+
+def fuzzy_score(query: str, target: str) -> int:
+    """How well the letters of ``query`` are found in ``target``, in order; -1 if they aren't.
+
+    A part of the target scores 1000 less the letters that it leaves out; otherwise runs of letters
+    score 10, 20, 30 ... a letter and single letters 1, with 15 more where a word begins.
+    """
+    q, t = query.lower(), target.lower()
+    if not q:
+        return 0
+    if q in t:
+        return 1000 - (len(t) - len(q))
+    score, run, at = 0, 0, -1
+    last = -2
+    for ch in q:
+        at = t.find(ch, at + 1)
+        if at < 0:
+            return -1
+        run = run + 1 if at == last + 1 else 0
+        score += 10 * run if run else 1
+        before = t[at - 1] if at else " "
+        score += 15 * (before == " " or (before != before.upper() and ch == ch.upper()))
+        last = at
+    return score
+
+
+def encrypted(c: Column, key: Column) -> Column:
+    """A text under AES-GCM with a key of 16, 24 or 32 bytes, in Base64; the nonce is a new one each time."""
+    return F.base64(F.aes_encrypt(c.cast("binary"), key, F.lit("GCM")))
+
+
+def decrypted(c: Column, key: Column) -> Column:
+    """The text of :func:`encrypted`, null where the key is wrong or the text was changed."""
+    return F.try_aes_decrypt(F.unbase64(c), key, F.lit("GCM")).cast("string")

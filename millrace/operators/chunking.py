@@ -1,6 +1,7 @@
 """Segmentation: sentences, semantic units and chunks of bounded size, in Arrow batches.
 
-Limits guard a worker against single texts: characters, chunks and sentences of one text.
+Texts are processed whole. ``Limits`` may bound the characters and chunks of one text; none are set
+unless a caller asks for them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_CHARS, MOST_CHUNKS = 10 * 1024 * 1024, 100_000
+
+@dataclass(frozen=True)
+class Limits:
+    """The most characters that are read of a text and the most chunks that are made of it; None for all."""
+
+    chars: int | None = None
+    chunks: int | None = None
+
+
+#: No limits, and those that an interactive program would set.
+WHOLE, GUARDED = Limits(), Limits(10 * 1024 * 1024, 100_000)
 #: Words whose full stop ends no sentence.
 ABBREVIATIONS = frozenset(
     "mr mrs ms dr prof sr jr vs etc eg ie inc ltd corp llc st ave blvd rd pl no vol vols pp pg cf et al approx dept univ fig figs eq eqs ch chs sec secs".split()
@@ -31,9 +42,8 @@ def _kept(parts: list[str], text: str) -> list[str]:
     return found or [text]
 
 
-def sentences(text: str) -> list[str]:
+def sentences(text: str | None) -> list[str]:
     """Sentences of a text: by full-width punctuation, by 200 characters, or by stops, as its script asks for."""
-    text = (text or "")[:MOST_CHARS]
     if not text:
         return []
     if any(c in text for c in _WIDE):
@@ -108,7 +118,7 @@ def pieces(text: str, size: int) -> list[str]:
     if len(text) <= size:
         return [text]
     out, start = [], 0
-    while start < len(text) and len(out) < MOST_CHUNKS:
+    while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
             cut = max((m.start() for m in re.finditer(r"\s", text[start + size // 2 + 1 : end])), default=-1)
@@ -187,7 +197,7 @@ class _Chunker:
                 self.add(row, "\n")
 
 
-def semantic_chunks(text: str | None, size: int = 2000, overlap: int = 100, smart: bool = False) -> list[str]:
+def semantic_chunks(text: str | None, size: int = 2000, overlap: int = 100, smart: bool = False, limits: Limits = WHOLE) -> list[str]:
     """Chunks of whole sentences and units, about ``size`` characters; null or blank text has none.
 
     A unit up to twice the size stays whole; a longer one is cut between rows or items. A chunk
@@ -195,7 +205,7 @@ def semantic_chunks(text: str | None, size: int = 2000, overlap: int = 100, smar
     """
     if not text or not text.strip():
         return []
-    text = text[:MOST_CHARS]
+    text = text[: limits.chars]
     size = min(max(size, 1), 50_000)
     overlap = min(max(overlap, 0), size // 2)
     if smart:
@@ -212,7 +222,7 @@ def semantic_chunks(text: str | None, size: int = 2000, overlap: int = 100, smar
     whole, starts = units(text), []
     starts = [u.start for u in whole]
     chunker, i = _Chunker(size, overlap), 0
-    while i < len(found) and len(chunker.out) < MOST_CHUNKS:
+    while i < len(found) and (limits.chunks is None or len(chunker.out) < limits.chunks):
         s, start, _ = found[i]
         k = bisect_right(starts, start) - 1
         i += 1
@@ -227,23 +237,29 @@ def semantic_chunks(text: str | None, size: int = 2000, overlap: int = 100, smar
     return [p for c in chunker.out if c for p in (pieces(c, size) if len(c) > 10 * size else [c])]
 
 
-def simple_chunks(text: str | None, size: int = 2000) -> list[str]:
+def simple_chunks(text: str | None, size: int = 2000, limits: Limits = WHOLE) -> list[str]:
     """Chunks of ``size`` characters that end at the last white space, sentence or unit in their back half."""
     if not text or not text.strip():
         return []
-    text = text[:MOST_CHARS]
+    text = text[: limits.chars]
     size = min(max(size, 1), 50_000)
     if len(text) <= size:
         return [text]
     whole, out, start = units(text), [], 0
-    while start < len(text) and len(out) < MOST_CHUNKS:
+    starts = [u.start for u in whole]
+
+    def within(lo: int, hi: int) -> list[Unit]:
+        """The units that begin in the range, and the one before these."""
+        return whole[max(0, bisect_right(starts, lo) - 1) : bisect_right(starts, hi)]
+
+    while start < len(text) and (limits.chunks is None or len(out) < limits.chunks):
         end = start + size
         if end < len(text):
             half = int(start + size / 2)
             back = text[half:end]
             spots = [half + m.start() for m in re.finditer(r"\s", back)]
             spots += [half + m.end() for m in re.finditer(rf"[{_WIDE}\n\r]|[.!?](?=\s)", text[half : end + 1]) if half + m.start() < end]
-            spots += [u.start for u in whole if u.start < end < u.end]
+            spots += [u.start for u in within(start, end) if u.start < end < u.end]
             end = max((p for p in spots if p > start + size / 2), default=end)
         out.append(text[start:end].strip())
         start = end
@@ -265,16 +281,45 @@ def chunked(docs: DataFrame, chunks: Column, id_col: str = "doc_id", most: int |
     return rows if most is None else rows.where(F.col("chunk_index") < most)
 
 
-def semantic(text: Column, size: int = 2000, overlap: int = 100, smart: bool = False) -> Column:
+def semantic(text: Column, size: int = 2000, overlap: int = 100, smart: bool = False, limits: Limits = WHOLE) -> Column:
     """:func:`semantic_chunks` of a column."""
-    return _each(lambda t: semantic_chunks(t, size, overlap, smart))(text)
+    return _each(lambda t: semantic_chunks(t, size, overlap, smart, limits))(text)
 
 
-def simple(text: Column, size: int = 2000) -> Column:
+def simple(text: Column, size: int = 2000, limits: Limits = WHOLE) -> Column:
     """:func:`simple_chunks` of a column."""
-    return _each(lambda t: simple_chunks(t, size))(text)
+    return _each(lambda t: simple_chunks(t, size, limits))(text)
+
+
+def document_chunks(text: str | None, size: int | None = None, smart: bool = False, most: int | None = None, limits: Limits = WHOLE) -> list[str]:
+    """Chunks of a document: semantic ones with an overlap of 100, the size within 500 and 10,000 (8,000 if unset).
+
+    Simple chunks take the place of semantic ones that fail or of which there are none; ``most`` cuts the list.
+    """
+    width = min(10_000, max(500, size or 8000))
+    try:
+        found = semantic_chunks(text, width, 100, smart, limits)
+    except (ValueError, re.error, RecursionError):
+        found = []
+    return (found or simple_chunks(text, width, limits))[: most or None]
+
+
+def documents(text: Column, size: int | None = None, smart: bool = False, most: int | None = None) -> Column:
+    """:func:`document_chunks` of a column."""
+    return _each(lambda t: document_chunks(t, size, smart, most))(text)
 
 
 def split_sentences(text: Column) -> Column:
     """:func:`sentences` of a column."""
     return _each(sentences)(text)
+
+
+def density_of(text: Column) -> Column:
+    """:func:`density` of a column."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: density(t or ""))
+
+    return run(text)

@@ -82,18 +82,13 @@ def kept_ids(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", te
     return first_kept(firsts, links(docs, min(threshold, 1.0), id_col=id_col, text_col=text_col))
 
 
-def merged_sources(docs: DataFrame, kept: DataFrame, edges: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, merged_from): the sources that each kept row's removed copies and neighbours had, once each, by name.
-
-    A removed row's source goes to the first kept row that its text is linked with. Sources of a
-    group are distinct before they are gathered, so a row is as long as the list of its sources.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), source.alias("source")).join(classes(docs, id_col, text_col), "id")
-    alive = kept.select(F.col("id").alias("keeper"))
-    near = edges.join(alive, F.col("a") == F.col("keeper")).groupBy("b").agg(F.min("keeper").alias("near"))
-    home = rows.join(alive, F.col("first") == F.col("keeper"), "left").join(near, F.col("first") == F.col("b"), "left")
-    home = home.select("id", "source", F.coalesce("keeper", "near").alias("keeper")).where("id <> keeper AND source IS NOT NULL")
-    return home.select("keeper", "source").distinct().groupBy(F.col("keeper").alias("id")).agg(F.array_sort(F.collect_list("source")).alias("merged_from"))
+def keepers(docs: DataFrame, kept: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keeper): for each removed row the kept one that it repeats, of several the first."""
+    rows = classes(docs, id_col, text_col)
+    alive = kept.select(F.col("id").alias("own"))
+    near = edges.join(alive, F.col("a") == F.col("own")).groupBy("b").agg(F.min("own").alias("near"))
+    home = rows.join(alive, F.col("first") == F.col("own"), "left").join(near, F.col("first") == F.col("b"), "left")
+    return home.select("id", F.coalesce("own", "near").alias("keeper")).where("id <> keeper")
 
 
 def _pieces(apart: int) -> int:

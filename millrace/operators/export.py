@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import csv_escape, html_escape, tsv_escape
 from millrace.operators.ordering import numbered
-from millrace.schema import all_messages, export_text
+from millrace.schema import all_messages, display_text, export_text
 from millrace.storage import cut
 
 
@@ -55,6 +55,84 @@ def tsv_lines(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.concat_ws("\t", *cells).alias("line"))
 
 
+def gui_text_lines(items: DataFrame) -> DataFrame:
+    """(item_id, line): the text that is shown of each item, a blank line after it."""
+    return items.select("item_id", F.concat(display_text(), F.lit("\n")).alias("line"))
+
+
+def preview_lines(items: DataFrame, most: int = 200) -> DataFrame:
+    """(item_id, line): the item's place from 1 and the beginning of its text."""
+    placed = numbered(items.select("item_id", display_text().alias("_text")), ["item_id"], "_n")
+    start = F.concat(F.substring("_text", 1, most), F.when(F.length("_text") > most, "...").otherwise(""))
+    return placed.select("item_id", F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), start).alias("line"))
+
+
+def chatml_items(items: DataFrame) -> DataFrame:
+    """The chat items if there is any, else all."""
+    # One row.
+    found = items.agg(F.coalesce(F.max(F.when(F.col("format") == "chatml", True)), F.lit(False)).alias("_any"))
+    return items.join(F.broadcast(found), F.lit(True)).where(~F.col("_any") | (F.col("format") == "chatml")).drop("_any")
+
+
+def json_array_lines(items: DataFrame) -> DataFrame:
+    """(item_id, line): each item as indented JSON, the lines of a JSON array when they are put between brackets.
+
+    All but the last line end in a comma, so parts written in order make one array.
+    """
+    body = F.regexp_replace(F.to_json(F.struct("format", "instruction", "input", "output", "text", "messages"), {"pretty": "true"}), "(?m)^", "  ")
+    # One row.
+    last = items.agg(F.max("item_id").alias("_last"))
+    rows = items.join(F.broadcast(last), F.lit(True))
+    return rows.select("item_id", F.concat(F.replace(body, F.lit(" : "), F.lit(": ")), F.when(F.col("item_id") < F.col("_last"), ",").otherwise("")).alias("line"))
+
+
+def spreadsheet_columns(items: DataFrame) -> DataFrame:
+    """(columns): those of a spreadsheet: messages as soon as one item has some, else the three of a pair."""
+    any_chat = F.coalesce(F.max(F.when(F.size("messages") > 0, True)), F.lit(False))
+    return items.agg(F.when(any_chat, F.array(F.lit("messages"))).otherwise(F.array(*map(F.lit, ("instruction", "input", "output")))).alias("columns"))
+
+
+def spreadsheet_rows(items: DataFrame, columns: list[str]) -> DataFrame:
+    """(item_id, cells): the columns as text, structures as JSON, absent ones empty."""
+    simple = {f.name for f in items.schema.fields if f.dataType.typeName() not in ("array", "struct", "map")}
+    cell = lambda c: F.lit("") if c not in items.columns else F.coalesce(F.col(c).cast("string") if c in simple else F.to_json(c), F.lit(""))
+    return items.select("item_id", F.array(*map(cell, columns)).alias("cells"))
+
+
+def csv_file_lines(items: DataFrame) -> DataFrame:
+    """(item_id, line): the CSV export with its byte-order mark and head, which stand before the first item."""
+    head = csv_layout(items).select(F.concat(F.lit("\ufeff"), F.col("layout"), F.lit("\n")).alias("_head"))
+    first = items.agg(F.min("item_id").alias("_first"))
+    rows = csv_lines(items).join(F.broadcast(head), F.lit(True)).join(F.broadcast(first), F.lit(True))
+    return rows.select("item_id", F.concat(F.when(F.col("item_id") == F.col("_first"), F.col("_head")).otherwise(""), F.col("line")).alias("line"))
+
+
+def log_lines(log: DataFrame, columns: list[str], layout: str = "csv") -> DataFrame:
+    """(line) of a log in CSV (quoted where needed, without a guard against formulas) or JSON lines."""
+    if layout == "jsonl":
+        return log.select(F.to_json(F.struct(*columns)).alias("line"))
+    quoted = lambda c: F.when(F.rlike(c, F.lit('[,"\\n\\r]')), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return log.select(F.concat_ws(",", *(quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns)).alias("line"))
+
+
+def file_name(template: str, source: Column, layout: str, index: Column, at: Column) -> Column:
+    """A template's {source}, {format}, {date}, {timestamp} and {index}, without characters that files may not have."""
+    base = F.regexp_extract(F.coalesce(source, F.lit("")), r"([^/\\\\]*)$", 1)
+    stem = F.coalesce(F.nullif(F.when(F.rlike(base, F.lit(r"^.+\.[^.]*$")), F.regexp_extract(base, r"^(.+)\.[^.]*$", 1)).otherwise(base), F.lit("")), F.lit("output"))
+    out = F.lit(template)
+    for mark, value in (("{source}", stem), ("{format}", F.lit(layout)), ("{date}", F.date_format(at, "yyyyMMdd")), ("{timestamp}", F.unix_millis(at).cast("string")), ("{index}", index.cast("string"))):
+        out = F.replace(out, F.lit(mark), value)
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(out, r'[<>:"/\\\\|?*\x00]', "_")), F.lit("")), F.lit("output"))
+
+
+def json_schema(items: DataFrame) -> DataFrame:
+    """(name, type): the fields of the first item (least id) and their JSON types, by name."""
+    names = [c for c in ("format", "instruction", "input", "output", "text", "messages") if c in items.columns]
+    first = items.agg(F.min_by(F.struct(*(F.col(c).isNotNull().alias(c) for c in names)), "item_id").alias("has"))
+    kinds = F.array(*(F.struct(F.lit(c).alias("name"), F.lit("array" if c == "messages" else "string").alias("type"), F.col("has")[c].alias("has")) for c in sorted(names)))
+    return first.select(F.explode(F.filter(kinds, lambda x: x["has"])).alias("f")).select("f.name", "f.type")
+
+
 def openai_lines(items: DataFrame) -> DataFrame:
     """(item_id, line): {"messages": [...]}; items without messages give none."""
     rows = items.select("item_id", all_messages().alias("messages")).where(F.size("messages") > 0)
@@ -181,6 +259,11 @@ LAYOUTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "text": text_lines,
     "csv": csv_lines,
     "tsv": tsv_lines,
+    "gui_text": gui_text_lines,
+    "json": json_array_lines,
+    "chatml": lambda items: json_array_lines(chatml_items(items)),
+    "csv_file": csv_file_lines,
+    "preview": preview_lines,
     "openai": openai_lines,
     "sharegpt": sharegpt_lines,
     "llama2": lambda items: template_lines(items, llama2),

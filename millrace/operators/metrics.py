@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,11 +143,34 @@ def failure_streaks(calls: DataFrame, provider: str, order: list, failed: Column
     return joined.select(*own, streak.cast("bigint").alias("streak"), (streak >= limit).alias("unhealthy"))
 
 
+def normal_answer(answer: Column) -> Column:
+    """An answer in lower case, without stops at its end and runs of blanks; JSON objects and lists with sorted keys."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(answer)), r"[.,!?\n\r]+$", ""), r"\s+", " ")
+
+    @F.pandas_udf("string")
+    def sorted_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str | None) -> str | None:
+            try:
+                return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except (TypeError, ValueError):
+                return text
+
+        for s in parts:
+            yield s.map(one)
+
+    # Only what looks like an object or a list leaves the JVM with anything to do.
+    return F.when(F.rlike(bare, F.lit(r"^[\[{]")), sorted_json(bare)).otherwise(bare)
+
+
+def vote_distribution(samples: DataFrame, question: str, position: str, answer: str) -> DataFrame:
+    """(question, normal, n, first, shown): how often each normalised answer was given, where first, and in which words then."""
+    rows = samples.withColumn("_normal", normal_answer(F.col(answer)))
+    return rows.groupBy(question, F.col("_normal").alias("normal")).agg(F.count("*").alias("n"), F.min(position).alias("first"), F.min_by(answer, position).alias("shown"))
+
+
 def votes(samples: DataFrame, question: str, position: str, answer: str) -> DataFrame:
     """Majority of normalised answers by question: winner (first seen of equals), its count, share and how many differ."""
-    text = F.lower(F.trim(F.col(answer)))
-    normal = F.regexp_replace(F.regexp_replace(text, r"[.,!?\n\r]+$", ""), r"\s+", " ")
-    counts = samples.withColumn("_normal", normal).groupBy(question, "_normal").agg(F.count("*").alias("n"), F.min(position).alias("first"), F.min_by(answer, position).alias("shown"))
+    counts = vote_distribution(samples, question, position, answer)
     return counts.groupBy(question).agg(
         F.max_by("shown", F.struct("n", -F.col("first"))).alias("winner"),
         F.max("n").alias("votes"),
@@ -201,6 +228,24 @@ def filter_graded(graded: DataFrame, threshold: float, order: str, least: int =
     return graded.join(F.broadcast(bound), F.lit(True)).withColumn("accepted", good | F.coalesce(place <= F.col("_bound"), F.lit(False))).drop("_bound")
 
 
+def grade_rates(filtered: DataFrame) -> DataFrame:
+    """One row of :func:`filter_graded`: items, accepted, the shares of both, and the mean score."""
+    n = F.count("*")
+    share = lambda c: F.when(n > 0, F.count_if(c) / n).otherwise(0.0)
+    return filtered.agg(n.alias("items"), F.count_if("accepted").alias("accepted"), share(F.col("accepted")).alias("acceptance_rate"), share(~F.col("accepted")).alias("filter_rate"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("average_score"))
+
+
+def few_shot_buffer(examples: DataFrame, order: str, least_quality: float = 0.0, size: int = 20) -> DataFrame:
+    """The examples that a buffer of ``size`` holds after all were offered in order.
+
+    Blank inputs, outputs and kinds and those below the quality are refused, as are inputs that were
+    accepted before; the oldest go. An input that left the buffer is still one that was accepted.
+    """
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    good = filled(F.col("input")) & filled(F.col("output")) & filled(F.col("processing_type")) & (F.col("quality_score").isNull() | (F.col("quality_score") >= least_quality))
+    return last_n(_first_by(examples.where(good), ["input"], F.col(order)), [order], size)
+
+
 def latest(df: DataFrame, key: str, order: list) -> DataFrame:
     """The last row of each key, combined before the shuffle."""
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.text import fuzzy_score
 from millrace.operators.ordering import numbered
 from millrace.storage import cut
 
@@ -180,6 +182,13 @@ def cached(requests: DataFrame, cache: DataFrame, now: Column, days: int = 7) ->
     return requests.join(fresh, "key", "left")
 
 
+def cache_statistics(answered: DataFrame, tokens: Column, price: float = 0.002) -> DataFrame:
+    """One row: requests, hits, and the tokens that the hits save with their cost at ``price`` a thousand."""
+    saved = F.coalesce(F.sum(F.when(F.col("response").isNotNull(), tokens)), F.lit(0)).cast("bigint")
+    row = answered.agg(F.count("*").alias("requests"), F.count("response").alias("hits"), saved.alias("saved_tokens"))
+    return row.withColumn("saved_cost", F.col("saved_tokens") / 1000 * price)
+
+
 def uncached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests whose key the cache lacks: what an incremental run has to process."""
     return requests.join(cache.select("key"), "key", "left_anti")
@@ -223,3 +232,28 @@ def template_for(templates: DataFrame, wanted: DataFrame) -> DataFrame:
     known = templates.select(F.col("locale").alias("used"), F.col("kind").alias("k"), "body")
     hits = tried.join(known, (F.col("c.l") == F.col("used")) & (F.col("kind") == F.col("k")))
     return hits.groupBy("locale", "kind").agg(F.min_by(F.struct("used", "body"), "c.rank").alias("t")).select("locale", "kind", "t.used", "t.body")
+
+
+def share(df: DataFrame, key: Column, part: float, seed: int = 42) -> DataFrame:
+    """About ``part`` of the rows, chosen by a hash of key and seed, so the same for the same seed."""
+    bound = f"{int(part * (1 << 32)):08x}"
+    return df.where(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 8) < bound)
+
+
+def warmed(answers: DataFrame, key: str, response: str, at: Column | None = None) -> DataFrame:
+    """(key, response, stored_at): a cache of earlier answers, one a key; failed ones are left out."""
+    rows = answers.where(F.col(response).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(response).alias("response"))
+    return rows.withColumn("stored_at", F.current_timestamp() if at is None else at)
+
+
+def fuzzy_ranked(commands: DataFrame, query: str, names: list[str], order: str) -> DataFrame:
+    """Commands that a query finds by any of their names, with the best score, best first, then by ``order``."""
+
+    @F.pandas_udf("int")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: fuzzy_score(query, t or ""))
+
+    scores = [run(F.col(n).cast("string")) for n in names]
+    scored = commands.withColumn("score", F.greatest(*scores) if len(scores) > 1 else scores[0])
+    return scored.where("score >= 0").orderBy(F.desc("score"), order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,12 +35,39 @@ CLASS_PATTERNS = {
     "password": r"""(?i)\b(?:password|passwd|pwd)\s*[:=]\s*['"]?[^\s'"]{8,}['"]?""",
     "passport": r"\b[A-Za-z]\d{7,}\b",
 }
+_STREETS = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Way|Court|Ct|Plaza|Plz|Suite|Ste|Apartment|Apt"
+#: What a text must hold for a pattern to occur in it: patterns that are cheap and that most texts lack.
+NEEDED = {
+    "email": ("@",),
+    "phone": ("[0-9]{4}",),
+    "ssn": ("[0-9]{4}",),
+    "credit_card": ("[0-9]{4}",),
+    "address": (r"[0-9]\s", rf"(?i)\s(?:{_STREETS})(?![A-Za-z0-9_])"),
+    "ip_address": (r"[0-9]\.[0-9]",),
+    "url": ("://",),
+    "date_of_birth": ("[/-](?:19|20)[0-9]{2}",),
+    "api_key": (r"(?i)key\s*[:=]",),
+    "password": (r"(?i)(?:password|passwd|pwd)\s*[:=]",),
+    "passport": ("[0-9]{7}",),
+}
+#: Words in the name of a custom pattern, by the class that they suggest, first to last.
+NAMED_CLASSES = {
+    "pii": ("ssn", "email", "phone", "passport"),
+    "financial": ("credit", "card", "bank", "iban"),
+    "secret": ("api", "key", "password", "secret", "token"),
+    "health": ("health", "medical", "patient", "diagnosis"),
+}
 MATCHES = "array<struct<type:string,start:int,end:int,value:string>>"
 
 
+def may_hold(text: Column, kind: str) -> Column:
+    """Whether a text can hold the kind at all; see ``NEEDED``."""
+    return reduce(Column.__and__, (F.rlike(text, F.lit(p)) for p in NEEDED[kind]))
+
+
 def pii_counts(text: Column) -> dict[str, Column]:
     """How often each kind occurs, overlaps included."""
-    return {kind: matches(text, p).cast("bigint") for kind, p in PATTERNS.items()}
+    return {kind: F.when(may_hold(text, kind), matches(text, p)).otherwise(0).cast("bigint") for kind, p in PATTERNS.items()}
 
 
 def compiled(patterns: dict[str, str] | None = None) -> list[tuple]:
@@ -62,50 +90,63 @@ def spans(text: str, patterns: list[tuple]) -> list[tuple[str, int, int, str]]:
 
 def redacted(text: str, patterns: list[tuple]) -> str:
     """Text with each match replaced by its kind in brackets."""
+    return without(text, spans(text, patterns))
+
+
+def without(text: str, found: list[tuple[str, int, int, str]]) -> str:
+    """Text with the given matches replaced by their kinds in brackets."""
     out, at = [], 0
-    for kind, start, end, _ in spans(text, patterns):
+    for kind, start, end, _ in found:
         out += [text[at:start], f"[{kind.upper()}_REDACTED]"]
         at = end
     return "".join([*out, text[at:]])
 
 
-def detect(patterns: dict[str, str] | None = None):
-    """An Arrow function of a text column: its matches, as type, start, end and value."""
+def inspect(patterns: dict[str, str] | None = None):
+    """An Arrow function of a text column, one pass a text: its matches (type, start, end, value), the text without them, and a score.
 
-    @F.pandas_udf(MATCHES)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A null text has no matches and stays null. The score is a tenth off for each match.
+    """
+
+    @F.pandas_udf(f"matches {MATCHES}, redacted string, score double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = compiled(patterns)
         for s in parts:
-            yield s.map(lambda t: [{"type": k, "start": a, "end": b, "value": v} for k, a, b, v in spans(t or "", known)])
+            found = [spans(t or "", known) for t in s]
+            yield pd.DataFrame(
+                {
+                    "matches": [[{"type": k, "start": a, "end": b, "value": v} for k, a, b, v in x] for x in found],
+                    "redacted": [None if t is None else without(t, x) for t, x in zip(s, found, strict=True)],
+                    "score": [max(0.0, 1 - 0.1 * len(x)) for x in found],
+                }
+            )
 
     return run
 
 
-def redact(patterns: dict[str, str] | None = None):
-    """An Arrow function of a text column: the text without its matches; null stays null."""
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = compiled(patterns)
-        for s in parts:
-            yield s.map(lambda t: None if t is None else redacted(t, known))
-
-    return run
+def redaction_log(inspected: DataFrame, id_col: str, matches: Column, at: Column) -> DataFrame:
+    """(item, type, start, end, value_sha256, redacted_at): an entry a match, by the hash of the item's id, without the values."""
+    rows = inspected.select(F.sha2(F.col(id_col).cast("string"), 256).alias("item"), F.explode(matches).alias("m"))
+    return rows.select("item", "m.type", "m.start", "m.end", F.sha2("m.value", 256).alias("value_sha256"), at.alias("redacted_at"))
 
 
 def kind_of_name(name: Column) -> Column:
     """The class that a custom pattern's name suggests."""
     low = F.lower(name)
-    has = lambda words: F.rlike(low, F.lit(words))
-    return F.when(has("ssn|email|phone|passport"), "pii").when(has("credit|card|bank|iban"), "financial").when(has("api|key|password|secret|token"), "secret").when(has("health|medical|patient|diagnosis"), "health").otherwise("pii")
+    out = F.when(F.lit(False), "")
+    for kind, words in NAMED_CLASSES.items():
+        for word in words:
+            out = out.when(F.contains(low, F.lit(word)), kind)
+    return out.otherwise("pii")
 
 
 def class_counts(text: Column) -> dict[str, Column]:
     """How many different matches of its patterns each class has."""
-    distinct = lambda p: F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(ascii_bounded(p)), F.lit(0))))
+    found = lambda k: F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(ascii_bounded(CLASS_PATTERNS[k])), F.lit(0))))
+    distinct = lambda k: F.when(may_hold(text, k), found(k)).otherwise(0)
     out = {}
     for name, (kinds, *_) in CLASSES.items():
-        counts = [distinct(CLASS_PATTERNS[k]) for k in kinds]
+        counts = [distinct(k) for k in kinds]
         out[name] = sum(counts[1:], counts[0]) if counts else F.lit(0)
     return out
 
@@ -146,3 +187,13 @@ def scrub(properties: Column, words: str = "password|token|secret|email|key|auth
     parts = lambda k: F.split(F.lower(F.regexp_replace(k, "([a-z0-9])([A-Z])", "$1_$2")), r"[_\-.\s]+")
     listed = F.array(*map(F.lit, words.split("|")))
     return F.map_filter(properties, lambda k, v: ~F.arrays_overlap(parts(k), listed))
+
+
+def released(quarantined: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Quarantined rows without those whose ids are released."""
+    return quarantined.join(ids.select(id_col).distinct(), id_col, "left_anti")
+
+
+def listed(quarantined: DataFrame, id_col: str) -> DataFrame:
+    """Quarantined rows, the latest first, then by id downwards."""
+    return quarantined.orderBy(F.desc("quarantined_at"), F.desc(id_col))

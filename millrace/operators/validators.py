@@ -6,6 +6,13 @@ A validator takes the text (or texts) it judges as columns and returns a struct
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,18 +67,25 @@ BIAS_TERMS = {
     "age": ("old fart", "millennial", "boomer"),
     "socioeconomic": ("ghetto", "trailer trash", "redneck"),
 }
-#: Words by label, as patterns; words that begin or end with a letter do so at a boundary.
+#: Words by label.
 TOXIC_WORDS = {
-    "identity_attack": r"\bracist\b|\bsexist\b|\bhomophobic\b",
-    "insult": r"\bidiot\b|\bstupid\b|\bmoron\b",
-    "obscene": r"\bf\*\*\*|\bs\*\*\*|\ba\*\*|\bdamn\b|\bhell\b",
-    "severe_toxicity": r"\bkill yourself\b|\bdie\b|\bworthless\b",
-    "sexual_explicit": r"\bsex\b|\bporn\b|\bnude\b",
-    "threat": r"\bkill\b|\bhurt\b|\battack\b",
-    "toxicity": r"\bhate\b|\bgarbage\b|\btrash\b",
+    "identity_attack": ("racist", "sexist", "homophobic"),
+    "insult": ("idiot", "stupid", "moron"),
+    "obscene": ("f***", "s***", "a**", "damn", "hell"),
+    "severe_toxicity": ("kill yourself", "die", "worthless"),
+    "sexual_explicit": ("sex", "porn", "nude"),
+    "threat": ("kill", "hurt", "attack"),
+    "toxicity": ("hate", "garbage", "trash"),
 }
 
 
+def word_pattern(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words; where a word begins or ends with a letter, so does the match, at a boundary."""
+    edge = lambda c: r"\b" if c.isalpha() else ""
+    escaped = lambda w: re.sub(r"([^\w ])", r"\\\1", w)
+    return "|".join(edge(w[0]) + escaped(w) + edge(w[-1]) for w in words)
+
+
 def bias_counts(text: Column) -> dict[str, Column]:
     """How many terms of each category a text holds."""
     low = F.lower(text)
@@ -86,9 +100,16 @@ def bias(text: Column) -> Column:
     return verdict(score, score >= 0.5, _listed(*((c > 0, name) for name, c in counts.items())))
 
 
+def bias_report(docs: DataFrame, text: Column) -> DataFrame:
+    """(category, items, n, score) over all texts: which hold terms, how many, and a tenth off for each."""
+    counts = F.array(*(F.struct(F.lit(name).alias("category"), c.cast("bigint").alias("n")) for name, c in bias_counts(text).items()))
+    rows = docs.select(F.explode(counts).alias("c")).where("c.n > 0").groupBy("c.category").agg(F.count("*").alias("items"), F.sum("c.n").alias("n"))
+    return rows.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("n") * 0.1))
+
+
 def toxic_labels(text: Column) -> Column:
     """Labels whose words a text holds."""
-    return _listed(*((found(text, f"(?i){p}"), name) for name, p in TOXIC_WORDS.items()))
+    return _listed(*((found(text, f"(?i){word_pattern(words)}"), name) for name, words in TOXIC_WORDS.items()))
 
 
 def toxicity(text: Column, threshold: float = 0.5) -> Column:
@@ -159,6 +180,50 @@ def keywords(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(ascii_bounded(r"(\b[a-z]+\b)")), F.lit(0)), lambda w: ~F.array_contains(stop, w))
 
 
+#: Keywords of all passages that one pass over the answers holds; more passages take more passes.
+PASSAGE_WORDS = 1_000_000
+
+
+def best_coverage(passages: DataFrame, docs: DataFrame, *, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(item, id, score): the document that covers each passage best, the greatest id of equals; passages without keywords give none.
+
+    Passages are a list: their keywords go to every task, ``PASSAGE_WORDS`` at a time (slices by hash
+    of the passage), and a task returns its best document for each passage, so what is shuffled is a
+    row a passage and task, not one a passage and document. Null texts are empty.
+    """
+    words = lambda: F.array_distinct(keywords(F.coalesce(text_col, F.lit(""))))
+    bench = passages.select(F.col(item_col).alias("item"), words().alias("k")).where(F.size("k") > 0)
+    told = docs.select(F.col(id_col).alias("id"), words().alias("k")).where(F.col("id").isNotNull())
+    kinds = {f.name: f.dataType.simpleString() for f in (bench.schema["item"], told.schema["id"])}
+    size = bench.agg(F.coalesce(F.sum(F.size("k")), F.lit(0)).alias("n")).first()["n"]
+    slices = max(1, -(-size // PASSAGE_WORDS))
+    found = []
+    for i in range(slices):
+        rows = bench.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == i).collect()
+        held = docs.sparkSession.sparkContext.broadcast([(r["item"], r["k"]) for r in rows])
+
+        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            places: dict[str, list[int]] = {}
+            for at, (_, k) in enumerate(held.value):
+                for w in k:
+                    places.setdefault(w, []).append(at)
+            best: dict[int, tuple[int, object]] = {}
+            kind = None
+            for batch in batches:
+                kind = kind or batch.schema.field("id").type
+                for doc, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for at, n in Counter(at for w in k for at in places.get(w, ())).items():
+                        best[at] = max(best.get(at, (n, doc)), (n, doc))
+            if best:
+                items, top = zip(*sorted(best.items()), strict=True)
+                columns = [pa.array([held.value[at][0] for at in items]), pa.array([d for _, d in top], kind), pa.array([n for n, _ in top], pa.int64()), pa.array([len(held.value[at][1]) for at in items], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "id", "n", "size"])
+
+        found.append(told.mapInArrow(work, f"item {kinds['item']}, id {kinds['id']}, n bigint, size bigint"))
+    best = reduce(DataFrame.unionByName, found).groupBy("item", "size").agg(F.max(F.struct("n", "id")).alias("m"))
+    return best.select(F.col("item").alias(item_col), F.col("m.id").alias(id_col), F.least(F.col("m.n") / F.col("size") * 1.5, F.lit(1.0)).alias("score"))
+
+
 def coverage(source: Column, answer: Column, threshold: float = 0.5) -> Column:
     """Share of a source's keywords in the answer, half as much again, 1 at most; takes keyword arrays."""
     a, b = F.array_distinct(source), F.array_distinct(answer)
@@ -169,8 +234,11 @@ def coverage(source: Column, answer: Column, threshold: float = 0.5) -> Column:
 
 def completeness(question: Column, answer: Column, threshold: float = 0.5) -> Column:
     """Share of the question's keywords that are in the answer, or within or around one of its keywords."""
-    asked, low, told = keywords(question), F.lower(answer), keywords(answer)
-    hit = F.filter(asked, lambda t: F.contains(low, t) | F.exists(told, lambda w: F.contains(w, t) | F.contains(t, w)))
+    asked = keywords(question)
+    # The answer's words are bound once, by a lambda, and not found again for each keyword. A keyword
+    # within one of them is within the answer.
+    once = F.array(F.struct(F.lower(answer).alias("low"), F.array_distinct(keywords(answer)).alias("told")))
+    hit = F.flatten(F.transform(once, lambda x: F.filter(asked, lambda t: F.contains(x["low"], t) | F.exists(x["told"], lambda w: F.contains(t, w)))))
     score = F.when(F.size(asked) == 0, F.when(F.length(answer) > 0, 1.0).otherwise(0.0)).otherwise(F.size(hit) / F.size(asked))
     return verdict(score, score >= threshold)
 
@@ -205,6 +273,100 @@ def hallucination(premise: Column, text: Column) -> Column:
     return verdict(score, F.size(flags) == 0, flags)
 
 
+def factual_consistency(premise: Column, answer: Column, threshold: float = 0.7) -> Column:
+    """Whether a source (a token array) entails an answer as a whole."""
+    score = entailment(premise, entailment_tokens(answer))
+    return verdict(score, score >= threshold)
+
+
+def with_synonyms(tokens: Column, synonyms: dict[str, list[str]]) -> Column:
+    """A token array with the synonyms of its tokens, in lower case; the dictionary is a parameter, hence small."""
+    if not synonyms:
+        return tokens
+    entries = F.create_map(*(x for k, v in synonyms.items() for x in (F.lit(k.lower()), F.array(*(F.lit(w.lower()) for w in v)))))
+    return F.array_distinct(F.concat(tokens, F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(entries, t), F.array().cast("array<string>"))))))
+
+
+def length_and_token_outlier(df: DataFrame, length: Column, tokens: Column, least: int = 5) -> DataFrame:
+    """Adds z_length, z_tokens, score (half off for each that is over two deviations) and listed (both are)."""
+    rows = df.withColumns({"_length": length, "_tokens": tokens})
+    stats = rows.agg(*(f(c).alias(f"{n}{c}") for c in ("_length", "_tokens") for n, f in (("m", F.avg), ("d", F.stddev_pop))), F.count("*").alias("_n"))
+    z = lambda c: F.when(F.col(f"d{c}") > 0, (F.col(c) - F.col(f"m{c}")) / F.col(f"d{c}")).otherwise(0.0)
+    # One row.
+    joined = rows.join(F.broadcast(stats), F.lit(True)).withColumns({"z_length": z("_length"), "z_tokens": z("_tokens")})
+    far = lambda c: F.when((F.col("_n") >= least) & (F.abs(c) > 2), 0.5).otherwise(0.0)
+    scored = joined.withColumn("score", 1 - far("z_length") - far("z_tokens"))
+    return scored.withColumn("listed", F.col("score") < 0.5).select(*df.columns, "z_length", "z_tokens", "score", "listed")
+
+
+def diverse(vectors: DataFrame, order: str, group: str | None = None, vector_col: str = "embedding", near: float = 0.9, most: int = 5) -> DataFrame:
+    """(order, cluster_size, passed, score): items in order join the first cluster whose centre or a member is near, up to ``most``.
+
+    Each decision depends on all before it, so the items of a group (all, without one) are streamed
+    through one task, which holds a centre a cluster and at most ``most`` - 1 members of it. Rows
+    without a vector make clusters of their own.
+    """
+    kind = vectors.schema[order].dataType.simpleString()
+    key = F.col(group) if group else F.lit(0)
+    rows = vectors.select(key.alias("g"), F.col(order).alias("o"), F.col(vector_col).cast("array<double>").alias("v")).repartition("g").sortWithinPartitions("g", "o")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = object(), None
+        for batch in batches:
+            sizes = []
+            for g, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g != now:
+                    now, found = g, _Clusters(near, most)
+                sizes.append(found.add(v))
+            passed = [n < most for n in sizes]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(passed), pa.array([max(0.0, 1 - n / most) for n in sizes])], names=["o", "cluster_size", "passed", "score"])
+
+    return rows.mapInArrow(work, f"o {kind}, cluster_size bigint, passed boolean, score double").withColumnRenamed("o", order)
+
+
+class _Clusters:
+    """Clusters in the order in which they began: unit vectors of centres and members, in one matrix."""
+
+    def __init__(self, near: float, most: int):
+        self.near, self.most, self.members, self.rows, self.owner, self.n = near, most, [], np.zeros((0, 0)), np.zeros(0, np.int64), 0
+
+    def _put(self, cluster: int, vector: np.ndarray) -> None:
+        if self.n == len(self.rows):
+            grown = np.zeros((max(64, 2 * self.n), len(vector)))
+            if self.n:
+                grown[: self.n] = self.rows[: self.n]
+            self.rows, self.owner = grown, np.concatenate((self.owner, np.zeros(len(grown) - len(self.owner), np.int64)))
+        self.rows[self.n], self.owner[self.n] = vector, cluster
+        self.n += 1
+
+    @staticmethod
+    def _unit(v: np.ndarray) -> np.ndarray:
+        size = np.sqrt(v @ v)
+        return v / size if size else v
+
+    def add(self, vector: list[float] | None) -> int:
+        """The size that the vector's cluster has with it, or would have if it were not full."""
+        v = np.array(vector or [], float)
+        unit = self._unit(v)
+        hits = self.owner[: self.n][self.rows[: self.n] @ unit > self.near] if self.n and len(v) else np.zeros(0, np.int64)
+        if not len(hits):
+            if len(v):
+                self.members.append([v])
+                self._put(len(self.members) - 1, unit)
+            return 1
+        cluster = int(hits.min())
+        size = len(self.members[cluster]) + 1
+        if size < self.most:
+            self.members[cluster].append(v)
+            # The row of a cluster of one is its centre as well; from two on members have rows of their own.
+            own = np.flatnonzero(self.owner[: self.n] == cluster)
+            if size == 2:
+                self._put(cluster, self._unit(self.members[cluster][0]))
+            self._put(cluster, unit)
+            self.rows[own[0]] = self._unit(np.mean(self.members[cluster], axis=0))
+        return size
+
+
 def length_outlier(df: DataFrame, length: Column, least: int = 5) -> DataFrame:
     """Adds z and outlier: over two standard deviations from the mean of all rows, if there are ``least``.
 

@@ -6,39 +6,17 @@ as word boundaries there are ASCII.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import schema
 from millrace.functions import text as T
 from millrace.operators import chunking, dedup, export, generate, metrics, ordering, parsing, planning, privacy
 from millrace.operators import validators as V
+from millrace.plans.registry import ORACLES, query, table
 from millrace.sources import readers
 from millrace.storage import shared_dir
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- quality ---------------------------------------------------------------------------------
 
 
@@ -80,7 +58,7 @@ def bias(spark, sf_dir):
 
 
 def _toxic_sql() -> str:
-    hits = ", ".join(f"regexp_matches(text, '(?i){p}') AS {n}" for n, p in V.TOXIC_WORDS.items())
+    hits = ", ".join(f"regexp_matches(text, '(?i){V.word_pattern(w)}') AS {n}" for n, w in V.TOXIC_WORDS.items())
     return f"SELECT doc_id, {', '.join(V.TOXIC_WORDS)}, ({' OR '.join(V.TOXIC_WORDS)}) AS toxic FROM (SELECT doc_id, {hits} FROM documents)"
 
 
@@ -120,7 +98,21 @@ def ambiguity(spark, sf_dir):
     return rows.select("doc_id", F.round("v.score", 6).alias("score"), F.array_contains("v.flags", "vague_pronouns").alias("vague"), F.array_contains("v.flags", "passive_voice").alias("passive"))
 
 
-@query()
+_GRAMMAR_SQL = rf"""
+gaps AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w, unnest(regexp_split_to_array(text, '[A-Za-z0-9_]+')[:-2]) AS gap, unnest(range(len(regexp_extract_all(text, '[A-Za-z0-9_]+')))) AS i FROM documents),
+near AS (SELECT doc_id, i, (lower(w) = lag(lower(w)) OVER o AND regexp_full_match(gap, '[ \t\n\x0B\f\r]+')) AS again FROM gaps WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, sum(CASE WHEN coalesce(again, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM near),
+repeated AS (SELECT doc_id, sum(n // 2) AS n FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, len(regexp_extract_all(text, ' {{2,}}')) AS double_spaces, coalesce(n, 0) AS repeated_words, len(regexp_extract_all(text, '\.\s+[a-z]')) AS missing_capitalization,
+         len(regexp_extract_all(text, '{V.GRAMMAR["confusables"]}')) AS confusables FROM documents LEFT JOIN repeated USING (doc_id)),
+grammar AS (
+  SELECT doc_id, greatest(0, 1 - (double_spaces + repeated_words + missing_capitalization + confusables) * 0.05::DOUBLE) AS score,
+         list_filter([CASE WHEN double_spaces > 0 THEN 'double_spaces' END, CASE WHEN repeated_words > 0 THEN 'repeated_words' END, CASE WHEN missing_capitalization > 0 THEN 'missing_capitalization' END, CASE WHEN confusables > 0 THEN 'confusables' END], lambda x: x IS NOT NULL) AS flags FROM found)
+"""
+
+
+@query(f"WITH {_GRAMMAR_SQL} SELECT doc_id, round(score, 6) AS score, score >= 0.8 AS passed, array_to_string(flags, ',') AS flags FROM grammar")
 def grammar(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", V.grammar(F.coalesce("text", F.lit(""))).alias("v")).select("doc_id", F.round("v.score", 6).alias("score"), "v.passed", F.array_join("v.flags", ",").alias("flags"))
 
@@ -136,21 +128,25 @@ SELECT item_id, max(doc_id) FILTER (WHERE share = top)::BIGINT AS doc_id, round(
 FROM (SELECT *, max(share) OVER (PARTITION BY item_id) AS top FROM p) GROUP BY item_id
 """)
 def coverage_of_benchmark(spark, sf_dir):
-    """The document that covers each benchmark passage best: keywords are joined, so only shared ones meet."""
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(V.keywords(F.coalesce("text", F.lit("")))).alias("k")).where(F.size("k") > 0)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(V.keywords(F.coalesce("text", F.lit(""))))).alias("w"))
-    # Benchmarks are a list of passages; Spark broadcasts their words if they are few.
-    words = bench.select("item_id", F.size("k").alias("size"), F.explode("k").alias("w"))
-    shared = docs.join(words, "w").groupBy("item_id", "doc_id", "size").agg(F.count("*").alias("n"))
-    best = shared.groupBy("item_id", "size").agg(F.max(F.struct("n", "doc_id")).alias("m"))
-    return best.select("item_id", F.col("m.doc_id").alias("doc_id"), F.round(F.least(F.col("m.n") / F.col("size") * 1.5, F.lit(1.0)), 6).alias("score"))
+    """The document that covers each benchmark passage best."""
+    best = V.best_coverage(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return best.withColumn("score", F.round("score", 6))
 
 
-@query()
+def _chain_sql() -> str:
+    toxic = " + ".join(f"{n}::INT" for n in V.TOXIC_WORDS)
+    kinds = " + ".join(f"({c} > 0)::INT" for c in V.BIAS_TERMS)
+    return f"""WITH {_GRAMMAR_SQL}, b AS ({ORACLES["bias"]}), t AS ({ORACLES["toxicity"]}), r AS ({ORACLES["reading_level"]}), a AS ({ORACLES["ambiguity"]}),
+    s AS (SELECT doc_id, (b.score + CASE WHEN t.toxic THEN 0 ELSE 1 END + grammar.score + r.score + a.score) / 5 AS mean, {kinds} + {toxic} + len(flags) + vague::INT + passive::INT AS n
+          FROM b JOIN t USING (doc_id) JOIN grammar USING (doc_id) JOIN r USING (doc_id) JOIN a USING (doc_id))
+    SELECT doc_id, round(mean, 4) AS score, mean >= 0.5 AS passed, n::BIGINT AS n_flags FROM s"""
+
+
+@query(_chain_sql())
 def grammar_chain(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     checks = V.chain(0.5, bias=V.bias(text), toxicity=V.toxicity(text), grammar=V.grammar(text), reading=V.reading_level(text), ambiguity=V.ambiguity(text))
-    return table(spark, sf_dir, "documents").select("doc_id", checks.alias("v")).select("doc_id", F.round("v.score", 6).alias("score"), "v.passed", F.size("v.flags").cast("bigint").alias("n_flags"))
+    return table(spark, sf_dir, "documents").select("doc_id", checks.alias("v")).select("doc_id", F.round("v.score", 4).alias("score"), "v.passed", F.size("v.flags").cast("bigint").alias("n_flags"))
 
 
 @query("""
@@ -271,12 +267,19 @@ links AS (
 """
 
 
-@query(f"WITH {_HASHES_SQL} SELECT id AS doc_id, hi, lo FROM sim")
+@query(f"WITH {_HASHES_SQL} SELECT d.doc_id, hi, lo FROM documents d JOIN texts t ON t.text = coalesce(d.text, '') JOIN sim USING (id)")
 def similarity_hash(spark, sf_dir):
-    """Of each distinct text, under its first id."""
+    """Of every document; a text of many copies is hashed once."""
     docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    distinct = docs.groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    return dedup.simhash(distinct)
+    distinct = docs.groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
+    members = dedup.classes(docs).select(F.col("id").alias("doc_id"), "first")
+    return members.join(dedup.simhash(distinct, "first", "text"), "first").select("doc_id", "hi", "lo")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS class_id FROM documents")
+def near_dup_classes(spark, sf_dir):
+    """Each document's class of equal texts, which near_dup_links links by their first documents."""
+    return dedup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("first").alias("class_id"))
 
 
 @query(f"WITH {_LINKS_SQL} SELECT a, b FROM links")
@@ -328,8 +331,8 @@ def pii_counts(spark, sf_dir):
 
 @query()
 def pii_redact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.sha2(privacy.redact()("text"), 256).alias("redacted_sha256"), F.size(privacy.detect()("text")).cast("bigint").alias("n_matches"))
+    found = table(spark, sf_dir, "documents").select("doc_id", privacy.inspect()("text").alias("found"))
+    return found.select("doc_id", F.sha2("found.redacted", 256).alias("redacted_sha256"), F.size("found.matches").cast("bigint").alias("n_matches"), F.round("found.score", 6).alias("score"))
 
 
 def _class_sql() -> str:
@@ -425,13 +428,46 @@ def item_search(spark, sf_dir):
 # --- planning --------------------------------------------------------------------------------
 
 
-@query()
+_CJK_WIDE_SQL = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3000}-\x{303F}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}\x{FF00}-\x{FFEF}]"
+_CJK_TOKENS_SQL = f"ceil(len(regexp_extract_all(coalesce(text, ''), '{_CJK_WIDE_SQL}')) + (length(coalesce(text, '')) - len(regexp_extract_all(coalesce(text, ''), '{_CJK_WIDE_SQL}'))) / 4)::BIGINT"
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT source, doc_id, {_CJK_TOKENS_SQL} AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+f AS (
+  SELECT source, 0::BIGINT AS i, NULL::BIGINT AS doc_id, 0::BIGINT AS t, 0::BIGINT AS used, 0::BIGINT AS out FROM (SELECT DISTINCT source FROM c)
+  UNION ALL
+  SELECT source, i, doc_id, t, CASE WHEN out = 0 THEN used ELSE least(100000, used + t + out) END, out
+  FROM (SELECT c.source, c.i, c.doc_id, c.t, f.used, CASE WHEN 100000 - f.used - 8192 - c.t <= 0 THEN 0 ELSE least(16384, greatest(256, 100000 - f.used - 8192 - c.t)) END AS out
+        FROM f JOIN c ON c.source = f.source AND c.i = f.i + 1))
+SELECT source, doc_id, t AS prompt_tokens, out AS output_tokens, out = 0 AS skipped FROM f WHERE i > 0
+""")
 def token_budget_plan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", T.cjk_tokens(F.col("text")).alias("tokens"))
     return planning.plan_budget(docs, "source", "doc_id", "tokens", planning.Budget(session=100_000))
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT source, doc_id, {_CJK_TOKENS_SQL} AS t, 1 + doc_id % 3 AS w FROM documents),
+s AS (SELECT *, 5000000 - 8192 - sum(t) OVER p AS room, sum(w) OVER p AS weights FROM c WINDOW p AS (PARTITION BY source)),
+a AS (SELECT *, CASE WHEN room <= 0 THEN 0 ELSE least(16384, greatest(256, floor(w / weights * room)::BIGINT)) END AS out FROM s),
+u AS (SELECT *, coalesce(sum(t + out) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM a)
+SELECT source, doc_id, CASE WHEN used >= 5000000 THEN 0 ELSE out END::BIGINT AS output_tokens FROM u
+""")
+def priority_budget_plan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", T.cjk_tokens(F.col("text")).alias("tokens"), (1 + F.col("doc_id") % 3).alias("priority"))
+    return planning.plan_by_priority(docs, "source", "doc_id", "tokens", "priority", planning.Budget(session=5_000_000))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT source, doc_id, 3 * length(coalesce(text, '')) + 50 AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE length(coalesce(text, '')) < 500),
+f AS (
+  SELECT source, 0::BIGINT AS i, NULL::BIGINT AS doc_id, 0::BIGINT AS n, 0::BIGINT AS size, 0::BIGINT AS batch FROM (SELECT DISTINCT source FROM c)
+  UNION ALL
+  SELECT source, i, doc_id, CASE WHEN fresh THEN 1 ELSE n + 1 END, CASE WHEN fresh THEN c ELSE size + c END, CASE WHEN fresh THEN batch + 1 ELSE batch END
+  FROM (SELECT c.source, c.i, c.doc_id, c.c, f.n, f.size, f.batch, f.n > 0 AND (f.n >= 8 OR f.size + c.c > 32000) AS fresh FROM f JOIN c ON c.source = f.source AND c.i = f.i + 1))
+SELECT source, doc_id, batch FROM f WHERE i > 0
+""")
 def batch_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("len"))
     return planning.pack_batches(docs.where("len < 500"), "source", "doc_id", "len")
@@ -448,25 +484,59 @@ def split_train_val_test(spark, sf_dir):
 _MODELS = "(0, 'a', 'small', 4000, array('speed', 'general'), 0.1D, false), (1, 'a', 'large', 128000, array('code', 'math', 'reasoning', 'general'), 3.0D, true), (2, 'b', 'wide', 32000, array('multilingual', 'general'), 0.5D, false)"
 
 
-@query()
+_TRAITS_SQL = f"""
+SELECT doc_id, n, has_code, has_math, has_image, multi, CASE WHEN n > 5000 OR has_math OR has_code THEN 'hard' WHEN n > 2000 OR has_table THEN 'medium' ELSE 'easy' END AS complexity FROM (
+  SELECT doc_id, length(text) AS n, regexp_matches(text, '{T.CODE}') AS has_code, regexp_matches(text, '{T.MATHS}') AS has_math,
+         regexp_matches(text, '{T.TABLE_ROW}') AND regexp_matches(text, '{T.TABLE_RULE}') AS has_table, regexp_matches(text, '{T.IMAGE}') AS has_image,
+         regexp_matches(text, '[\\x{{4E00}}-\\x{{9FFF}}\\x{{3040}}-\\x{{309F}}\\x{{30A0}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}]') AND regexp_matches(text, '[a-zA-Z]') AS multi
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+"""
+
+
+@query(f"""
+WITH m(position, provider, model, window_size, strengths, cost, vision) AS (
+  VALUES (0, 'a', 'small', 4000, ['speed', 'general'], 0.1::DOUBLE, false), (1, 'a', 'large', 128000, ['code', 'math', 'reasoning', 'general'], 3.0::DOUBLE, true), (2, 'b', 'wide', 32000, ['multilingual', 'general'], 0.5::DOUBLE, false)),
+t AS ({_TRAITS_SQL}),
+s AS (
+  SELECT doc_id, position, provider, model,
+    CASE WHEN n > window_size * 0.8::DOUBLE THEN -100 ELSE 10 END + CASE WHEN has_code AND list_contains(strengths, 'code') THEN 30 ELSE 0 END + CASE WHEN has_math AND list_contains(strengths, 'math') THEN 30 ELSE 0 END
+    + CASE WHEN multi AND list_contains(strengths, 'multilingual') THEN 25 ELSE 0 END + CASE WHEN has_image THEN CASE WHEN vision THEN 50 ELSE -30 END ELSE 0 END
+    + CASE WHEN complexity = 'hard' AND list_contains(strengths, 'reasoning') THEN 15 ELSE 0 END + CASE WHEN list_contains(strengths, 'general') THEN 5 ELSE 0 END - least(cost * 5, 20) AS score
+  FROM t, m)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position)::BIGINT AS rank, provider, model, score::DOUBLE AS score FROM s
+""")
 def model_ranking(spark, sf_dir):
     models = spark.sql(f"SELECT * FROM VALUES {_MODELS} AS t(position, provider, model, context_window, strengths, cost, vision)")
     chunks = table(spark, sf_dir, "documents").select("doc_id", T.chunk_traits(F.coalesce("text", F.lit(""))).alias("traits"))
     return planning.rank_models(chunks, models, "instruction", "doc_id")
 
 
-@query("SELECT doc_id, sha256(length(coalesce(text, ''))::VARCHAR || ':' || coalesce(text, '')) AS key FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
-def incremental_new_chunks(spark, sf_dir):
-    """Documents of odd ids are new, those of even ids have been processed."""
+_EARLIER_SQL = "earlier AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents JOIN labels USING (doc_id))"
+
+
+def _earlier(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of all documents, and the keys of an earlier run, which labelled some of them."""
     keyed = table(spark, sf_dir, "documents").select("doc_id", planning.cache_key(F.coalesce("text", F.lit(""))).alias("key"))
-    return planning.uncached(keyed.where("doc_id % 2 = 1"), keyed.where("doc_id % 2 = 0").select("key").distinct())
+    return keyed, keyed.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("key").distinct()
 
 
-@query("SELECT count(*)::BIGINT AS requests, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.text = d.text))::BIGINT AS hits FROM documents d")
+@query(f"WITH {_EARLIER_SQL} SELECT doc_id, sha256(length(coalesce(d.text, ''))::VARCHAR || ':' || coalesce(d.text, '')) AS key FROM documents d WHERE NOT EXISTS (SELECT 1 FROM earlier e WHERE e.text = coalesce(d.text, ''))")
+def incremental_new_chunks(spark, sf_dir):
+    """Of all documents, those that an earlier run has not processed."""
+    keyed, done = _earlier(spark, sf_dir)
+    return planning.uncached(keyed, done)
+
+
+@query(f"""WITH {_EARLIER_SQL}
+SELECT count(*)::BIGINT AS requests, count(e.text)::BIGINT AS hits, coalesce(sum(ceil(length(d.text) / 4)) FILTER (WHERE e.text IS NOT NULL), 0)::BIGINT AS saved_tokens,
+       round(coalesce(sum(ceil(length(d.text) / 4)) FILTER (WHERE e.text IS NOT NULL), 0) / 1000 * 0.002::DOUBLE, 6) AS saved_cost
+FROM documents d LEFT JOIN earlier e ON e.text = coalesce(d.text, '')""")
 def cache_hits(spark, sf_dir):
-    keyed = table(spark, sf_dir, "documents").select("doc_id", planning.cache_key(F.coalesce("text", F.lit(""))).alias("key"))
-    cache = keyed.where("doc_id % 2 = 0").select("key").distinct().select("key", F.lit("cached").alias("response"), F.lit("2024-01-02").cast("timestamp").alias("stored_at"))
-    return planning.cached(keyed, cache, F.lit("2024-01-05").cast("timestamp")).agg(F.count("*").alias("requests"), F.count("response").alias("hits"))
+    """All documents against the cache that an earlier run left, with what the hits save."""
+    keyed, done = _earlier(spark, sf_dir)
+    tokens = table(spark, sf_dir, "documents").select("doc_id", T.simple_tokens(F.col("text")).alias("tokens"))
+    cache = done.select("key", F.lit("cached").alias("response"), F.lit("2024-01-02").cast("timestamp").alias("stored_at"))
+    return planning.cache_statistics(planning.cached(keyed.join(tokens, "doc_id"), cache, F.lit("2024-01-05").cast("timestamp")), F.col("tokens")).withColumn("saved_cost", F.round("saved_cost", 6))
 
 
 # --- exports ---------------------------------------------------------------------------------
@@ -576,12 +646,39 @@ def html_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(readers.sanitized(F.col("html")).cast("binary"), 256).alias("html_sha256"))
 
 
-@query(rf"SELECT page_id, sha256(regexp_extract({_sanitize_sql()}, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1)) AS main_sha256 FROM pages")
+def _main_sql(c: str) -> str:
+    part = lambda p, g=1: f"WHEN regexp_matches({c}, '{p}') THEN regexp_extract({c}, '{p}', {g})"
+    quote = "[\"'']"
+    return "CASE " + " ".join((
+        part(r"(?is)<main\b[^>]*>(.*?)</main\s*>"), part(r"(?is)<article\b[^>]*>(.*?)</article\s*>"),
+        part(rf"(?is)<div\b[^>]*role\s*=\s*{quote}main{quote}[^>]*>(.*?)</div\s*>"), part(r"(?is)<div\b[^>]*class\s*=\s*\"[^\"]*\bcontent\b[^\"]*\"[^>]*>(.*?)</div\s*>"),
+        part(r"(?is)<body\b[^>]*>(.*?)</body\s*>"),
+    )) + f" ELSE {c} END"
+
+
+_CLEAN_SQL = f"clean AS (SELECT page_id, html, {_sanitize_sql()} AS h FROM pages), main AS (SELECT page_id, html, {_main_sql('h')} AS m FROM clean)"
+
+
+@query(f"WITH {_CLEAN_SQL} SELECT page_id, sha256(m) AS main_sha256 FROM main")
 def html_main(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(readers.main_html(readers.sanitized(F.col("html"))).cast("binary"), 256).alias("main_sha256"))
 
 
-@query()
+def _entities_sql(c: str) -> str:
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{plain}')"
+    return c
+
+
+_TRIM_SQL = r"'^[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g'"
+
+
+@query(rf"""
+WITH {_CLEAN_SQL},
+plain AS (SELECT page_id, html, {_entities_sql(r"regexp_replace(regexp_replace(m, '(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|section|article|blockquote)\s*>', chr(10), 'g'), '<[^>]+>', '', 'g')")} AS t FROM main),
+texts AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), {_TRIM_SQL}) AS t FROM plain)
+SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), ' ' || chr(9) || chr(10) || chr(13)), '') AS title, sha256(t) AS text_sha256, length(t)::BIGINT AS n_chars FROM texts
+""")
 def html_to_text(spark, sf_dir):
     return readers.page_texts(table(spark, sf_dir, "pages")).select("page_id", "title", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))
 
@@ -750,7 +847,21 @@ def chunks_semantic(spark, sf_dir):
     return _chunk_rows(chunking.chunked(table(spark, sf_dir, "documents"), chunking.semantic(F.col("text"), 2000, 100)))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE cuts AS (
+  SELECT doc_id, text, 0::BIGINT AS start, 0::BIGINT AS stop, -1::BIGINT AS i FROM documents WHERE regexp_matches(coalesce(text, ''), '\S')
+  UNION ALL
+  SELECT doc_id, text, stop, CASE
+      WHEN length(text) <= 2000 OR stop + 2000 >= length(text) THEN length(text)
+      WHEN regexp_matches(substr(text, stop + 2000, 2), '^[.!?]\s') THEN stop + 2000
+      WHEN regexp_matches(substr(text, stop + 1002, 999), '\s') THEN
+        stop + 2000 - length(regexp_extract(reverse(substr(text, stop + 1002, 999)), '^\S*')) - CASE WHEN regexp_matches(reverse(substr(text, stop + 1002, 999)), '^\S*\n') THEN 0 ELSE 1 END
+      ELSE stop + 2000 END, i + 1
+  FROM cuts WHERE stop < length(text)
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk_index, length(c)::BIGINT AS n_chars, sha256(c) AS chunk_sha256
+FROM (SELECT doc_id, i, CASE WHEN length(text) <= 2000 THEN text ELSE regexp_replace(substr(text, start + 1, stop - start), '^\s+|\s+$', '', 'g') END AS c FROM cuts WHERE i >= 0) WHERE c <> ''
+""")
 def chunks_simple(spark, sf_dir):
     return _chunk_rows(chunking.chunked(table(spark, sf_dir, "documents"), chunking.simple(F.col("text"), 2000)))
 
@@ -761,24 +872,47 @@ def sentences(spark, sf_dir):
 
 
 def _transcripts(spark, sf_dir, first: str, second: str) -> DataFrame:
-    label = F.when(F.col("role") == "user", F.lit(first)).otherwise(F.lit(second))
-    said = table(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(label, F.lit(": "), F.coalesce("text", F.lit(""))).alias("line")))).alias("r"))
+    """Conversations as labelled lines, a row each; what a system says stands before the first label."""
+    label = F.when(F.col("role") == "user", F.lit(first)).when(F.col("role") == "assistant", F.lit(second)).otherwise(F.lit("Note"))
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(label, F.lit(": "), F.coalesce("text", F.lit(""))).alias("line")))).alias("r"))
     return said.select("conv_id", F.array_join(F.col("r.line"), "\n").alias("response"))
 
 
-@query()
+def _cleaned_sql(c: str) -> str:
+    line = "x"
+    for mark, rest in parsing.MARKS:
+        line = f"regexp_replace({line}, '{mark}', '{rest}', 'g')"
+    dropped = " OR ".join(f"regexp_matches(trim(x, ' ' || chr(9) || chr(13)), '{p}')" for p in parsing.DROPPED_LINES)
+    kept = f"list_transform(list_filter(string_split({c}, chr(10)), lambda x: NOT ({dropped})), lambda x: {line})"
+    return rf"regexp_replace(regexp_replace(array_to_string({kept}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+_TRANSCRIPT_SQL = f"""
+WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lead(role) OVER w AS next_role, lead(coalesce(text, '')) OVER w AS next_text FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), ' ') AS q,
+                 CASE WHEN next_role = 'assistant' THEN {_cleaned_sql("next_text")} ELSE '' END AS a FROM said WHERE role = 'user'),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(q)) ORDER BY turn) AS r FROM pairs)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pair_no, sha256(q) AS question, sha256(a) AS answer FROM firsts WHERE r = 1
+"""
+
+
+@query(_TRANSCRIPT_SQL)
 def qa_pairs(spark, sf_dir):
     out = parsing.items_from(_transcripts(spark, sf_dir, "Question", "Answer"), "instruction", "conv_id", "response")
     return out.select("conv_id", F.col("pair_no").cast("bigint").alias("pair_no"), F.sha2("question", 256).alias("question"), F.sha2("answer", 256).alias("answer"))
 
 
-@query()
+@query(_TRANSCRIPT_SQL)
 def turns(spark, sf_dir):
     out = parsing.items_from(_transcripts(spark, sf_dir, "User", "Assistant"), "conversation", "conv_id", "response")
     return out.select("conv_id", F.col("pair_no").cast("bigint").alias("pair_no"), F.sha2("question", 256).alias("question"), F.sha2("answer", 256).alias("answer"))
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array('Ask about: ' || coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT doc_id, 'What is said about ' || array_to_string(w[-6:], ' ') || '?' AS q, array_to_string(w[-12:], ' ') AS a FROM w)
+SELECT doc_id, 0::BIGINT AS pair_no, q AS question, {_cleaned_sql("a")} AS answer FROM a
+""")
 def generated_items(spark, sf_dir):
     """Documents through an offline provider, and the items in its answers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", generate.prompt_of("Ask about: {{text}}", F.coalesce("text", F.lit(""))).alias("prompt"), F.lit("none").alias("model"))

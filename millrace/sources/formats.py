@@ -10,6 +10,7 @@ import json
 import quopri
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -294,13 +295,44 @@ def captions(text: str) -> list[str]:
     return [" ".join(c) for c in out if c]
 
 
-def pdf_text(content: bytes) -> str:
-    """Readable text of a PDF's uncompressed text blocks, else of its first 10,000 bytes."""
-    raw = content.decode("latin-1")
-    found = [m for block in re.findall(r"BT(.*?)ET", raw, re.S) for m in re.findall(r"\(((?:\\.|[^\\()])*)\)\s*Tj", block)]
+def _pdf_streams(content: bytes) -> Iterator[bytes]:
+    """A PDF's streams, inflated where their dictionaries say so; streams that don't inflate are skipped."""
+    for m in re.finditer(rb"<<((?:[^<>]|<(?!<)|>(?!>)|<<(?:[^<>]|<(?!<)|>(?!>))*>>)*)>>\s*stream\r?\n", content):
+        end = content.find(b"endstream", m.end())
+        data = content[m.end() : end if end >= 0 else len(content)]
+        if b"FlateDecode" not in m[1]:
+            yield data
+            continue
+        try:
+            yield zlib.decompressobj().decompress(data)
+        except zlib.error:
+            continue
+
+
+def _pdf_shown(stream: str) -> list[str]:
+    """The strings that text blocks show, by Tj, ' and \" or by the parts of a TJ array."""
+    escapes = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+    plain = lambda x: re.sub(r"\\([0-7]{1,3}|.)", lambda m: chr(int(m[1], 8)) if m[1][0] in "01234567" else escapes.get(m[1], m[1]), x, flags=re.S)
+    out = []
+    for block in re.findall(r"\bBT\b(.*?)\bET\b", stream, re.S):
+        for array, one in re.findall(r"\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")", block, re.S):
+            out.append(plain("".join(re.findall(r"\(((?:\\.|[^\\()])*)\)", array, re.S)) if array else one))
+    return out
+
+
+def pdf_text(content: bytes, most: int | None = None) -> str:
+    """Readable text of a PDF's text blocks, compressed or not; else of its bytes, of ``most`` of them if that is set."""
+    found = [x for data in _pdf_streams(content) for x in _pdf_shown(data.decode("latin-1"))] or _pdf_shown(content.decode("latin-1"))
     if found:
-        return " ".join(re.sub(r"\\(.)", r"\1", x) for x in found)
-    return re.sub(r"\s+", " ", re.sub(r"[^\x20-\x7e\n]", " ", raw[:10_000])).strip()
+        return " ".join(found)
+    raw = content.decode("latin-1")
+    return re.sub(r"\s+", " ", re.sub(r"[^\x20-\x7e\n]", " ", raw[:most])).strip()
+
+
+def image_only_pdf(content: bytes, least: int = 20) -> bool:
+    """Whether a PDF has images and hardly any text: fewer than ``least`` characters are shown."""
+    shown = sum(len(x.strip()) for data in _pdf_streams(content) for x in _pdf_shown(data.decode("latin-1")))
+    return re.search(rb"/Subtype\s*/Image", content) is not None and shown < least
 
 
 def fields(text: str | None) -> list[tuple[str, str, str | None]]:
