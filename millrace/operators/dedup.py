@@ -146,15 +146,18 @@ def links(docs: DataFrame, threshold: float = 0.9, skip_cross_script: bool = Tru
     return cut(both.where(similarity >= threshold).select("a", "b"), "links")
 
 
-def first_kept(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def first_kept(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """The (id) of ``nodes`` that stay: the first independent set in the order of ids.
 
     ``edges`` are (a, b) with a < b. Each round keeps the nodes without an earlier neighbour among
     the undecided, drops their neighbours, and goes on with what is left, until nothing is; the least
-    undecided node is decided in every round, so the rounds end.
+    undecided node is decided in every round, so the rounds end. More than ``rounds`` of them, if that
+    is set, are an error.
     """
     left, dropped = cut(edges, "undecided"), []
     while not left.isEmpty():
+        if rounds is not None and len(dropped) >= rounds:
+            raise RuntimeError(f"first_kept did not settle in {rounds} rounds")
         later = left.select(F.col("b").alias("a")).distinct()
         heads = left.select("a").distinct().join(later, "a", "left_anti")
         gone = cut(left.join(heads, "a").select(F.col("b").alias("id")).distinct(), "dropped")

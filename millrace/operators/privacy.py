@@ -124,6 +124,16 @@ def inspect(patterns: dict[str, str] | None = None):
     return run
 
 
+def detect(patterns: dict[str, str] | None = None):
+    """The matches alone of :func:`inspect`."""
+    return lambda text: inspect(patterns)(text)["matches"]
+
+
+def redact(patterns: dict[str, str] | None = None):
+    """The redacted text alone of :func:`inspect`."""
+    return lambda text: inspect(patterns)(text)["redacted"]
+
+
 def redaction_log(inspected: DataFrame, id_col: str, matches: Column, at: Column) -> DataFrame:
     """(item, type, start, end, value_sha256, redacted_at): an entry a match, by the hash of the item's id, without the values."""
     rows = inspected.select(F.sha2(F.col(id_col).cast("string"), 256).alias("item"), F.explode(matches).alias("m"))

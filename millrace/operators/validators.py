@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from millrace.functions.text import found, half_up, has_cjk, js_trim, matches, utf16_length, whitespace_tokens
@@ -195,6 +196,7 @@ def best_coverage(passages: DataFrame, docs: DataFrame, *, item_col: str = "item
     bench = passages.select(F.col(item_col).alias("item"), words().alias("k")).where(F.size("k") > 0)
     told = docs.select(F.col(id_col).alias("id"), words().alias("k")).where(F.col("id").isNotNull())
     kinds = {f.name: f.dataType.simpleString() for f in (bench.schema["item"], told.schema["id"])}
+    item_type = to_arrow_type(bench.schema["item"].dataType)
     size = bench.agg(F.coalesce(F.sum(F.size("k")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-size // PASSAGE_WORDS))
     found = []
@@ -216,7 +218,7 @@ def best_coverage(passages: DataFrame, docs: DataFrame, *, item_col: str = "item
                         best[at] = max(best.get(at, (n, doc)), (n, doc))
             if best:
                 items, top = zip(*sorted(best.items()), strict=True)
-                columns = [pa.array([held.value[at][0] for at in items]), pa.array([d for _, d in top], kind), pa.array([n for n, _ in top], pa.int64()), pa.array([len(held.value[at][1]) for at in items], pa.int64())]
+                columns = [pa.array([held.value[at][0] for at in items], item_type), pa.array([d for _, d in top], kind), pa.array([n for n, _ in top], pa.int64()), pa.array([len(held.value[at][1]) for at in items], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["item", "id", "n", "size"])
 
         found.append(told.mapInArrow(work, f"item {kinds['item']}, id {kinds['id']}, n bigint, size bigint"))
