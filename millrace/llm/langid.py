@@ -140,8 +140,11 @@ def predict(docs: DataFrame, profiles: DataFrame, *, id_col: str = "doc_id", tex
         table.setdefault(row["lang"], []).append((row["gram"], row["rank"]))
     names = sorted(table)
     known = [np.array(sorted(table[x]), np.int64) for x in names]
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"c_{i}") for i, c in enumerate(carried)))
-    schema = f"`{id_col}` {id_type(rows, 'id')}, lang_pred string, score double" + "".join(f", `{c}` {id_type(rows, f'c_{i}')}" for i, c in enumerate(carried))
+    # The text itself is carried by the column that is judged, so that no batch holds it twice.
+    others = [c for c in carried if c != text_col or id_type(docs, c) != "string"]
+    place = {c: 2 + i for i, c in enumerate(others)}
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"c_{i}") for i, c in enumerate(others)))
+    schema = f"`{id_col}` {id_type(rows, 'id')}, lang_pred string, score double" + "".join(f", `{c}` {id_type(docs, c)}" for c in carried)
 
     def judged(texts: list[str]) -> tuple[list[str], list[float]]:
         grams = Grams(texts)
@@ -177,7 +180,7 @@ def predict(docs: DataFrame, profiles: DataFrame, *, id_col: str = "doc_id", tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             pred, score = judged([t or "" for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pred), pa.array(score, pa.float64()), *batch.columns[2:]], names=[id_col, "lang_pred", "score", *carried])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pred), pa.array(score, pa.float64()), *(batch.column(place.get(c, 0)) for c in carried)], names=[id_col, "lang_pred", "score", *carried])
 
     return rows.mapInArrow(work, schema)
 

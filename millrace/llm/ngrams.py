@@ -61,6 +61,8 @@ FILTER_BITS = 1 << 23
 OFTEN, FREQUENT = 3, 200_000
 #: Members of a list that are compared in one task with as many others.
 BLOCK = 1024
+#: Words whose hashes a worker keeps while a task runs; they only save time.
+CACHED = 100_000
 #: What scanning costs an entry of an inverted list, in rows of a subset.
 SCAN = 8
 
@@ -86,7 +88,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    if len(_CACHE) > 300_000:
+    if len(_CACHE) > CACHED:
         _CACHE.clear()
     split = [b.lower().split() for b in bodies]
     words = np.fromiter((h for s in split for h in map(_CACHE.__getitem__, s)), np.uint64, sum(map(len, split)))
@@ -196,6 +198,7 @@ class NgramJoin:
                     pa.concat_arrays([pa.array([hashlib.md5(b).digest() for b in batch.column(1).to_pylist()], pa.binary()), nothing(pa.binary(), m)]),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc", "node", "size", "sketch", "wide", "tok", "sig"])
+            _CACHE.clear()
 
         return self.rows.mapInArrow(work, f"doc {self.kind}, node binary, size int, sketch binary, wide binary, tok bigint, sig binary")
 
@@ -253,6 +256,7 @@ class NgramJoin:
                 arrays = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))]
                 for at in range(0, len(arrays[0]), 100_000):
                     yield pa.RecordBatch.from_arrays([a.slice(at, 100_000) for a in arrays], names=["key", "k", "size"])
+            _CACHE.clear()
 
         return self.rows.select("body").mapInArrow(work, "key bigint, k bigint, size int")
 
@@ -424,6 +428,7 @@ class NgramJoin:
                     seen.clear()
                 if fresh:
                     yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.binary())], names=["node", "data"])
+            _CACHE.clear()
 
         read = self.rows.select(bit.alias("bit"), "body").mapInArrow(hashed, "node binary, data binary")
         data = stored(read.join(needed, "node", "left_semi").dropDuplicates(["node"]), f"{name}-data")
