@@ -67,7 +67,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the mixed texts and decodes them again; row by row, a null text as an empty one."""
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Smaller dictionaries than alone: the workers of all stages share an executor's memory.
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), kept=100_000)
 
 
 def _shipped(stage):
