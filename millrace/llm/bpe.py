@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_type, slices
+from millrace.llm.common import id_type, releasing, slices
 
 #: Fixed values of the vocabulary's format: the mark of a word's last symbol, and the pieces
 #: that its pre-tokenizer takes.
@@ -253,4 +253,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(releasing(work), schema)

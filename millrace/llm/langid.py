@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import id_type, slices, stored
+from millrace.llm.common import id_type, releasing, slices, stored
 
 #: What stands for a word border in an n-gram, and the bits of a code point.
 BORDER, BITS = 1, 21
 UNDETERMINED = "und"
 #: Bytes of text that are counted at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 @cache
@@ -124,7 +124,7 @@ def language_profiles(docs: DataFrame, *, text_col: str = "text", lang_col: str
                 size = 0
         yield from flush()
 
-    counts = rows.mapInArrow(work, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(releasing(work), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", rank - 1).where(F.col("rank") < length).select("lang", "gram", "rank")
 
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, profiles: DataFrame, *, id_col: str = "doc_id", tex
             pred, score = judged([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pred), pa.array(score, pa.float64()), *(batch.column(place.get(c, 0)) for c in carried)], names=[id_col, "lang_pred", "score", *carried])
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(releasing(work), schema)
 
 
 def fold(id_col: str = "doc_id", folds: int = 3) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_type, slices, stored, text_bytes
+from millrace.llm.common import id_type, releasing, slices, stored, text_bytes
 
 #: Kinds of rows that the streaming pass returns.
 DROP, IF_FREQUENT, SUMMARY = 0, 1, 2
@@ -61,7 +61,7 @@ def line_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
             columns = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "doc", "sig", "pos"])
 
-    return docs.mapInArrow(work, f"k1 bigint, k2 bigint, doc {id_type(docs, 'doc')}, sig bigint, pos int")
+    return docs.mapInArrow(releasing(work), f"k1 bigint, k2 bigint, doc {id_type(docs, 'doc')}, sig bigint, pos int")
 
 
 def _stream(min_docs: int, keep_first: bool):
@@ -126,7 +126,7 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     lines = stored(line_keys(identified(docs, id_col, text_col), min_chars), "lines")
     ordered = lines.repartitionByRange("k1", "k2", "doc", "sig").sortWithinPartitions("k1", "k2", "doc", "sig", "pos")
     found = stored(
-        ordered.mapInArrow(_stream(min_docs, keep_first), f"kind int, k1 bigint, k2 bigint, doc {id_type(lines, 'doc')}, sig bigint, pos int, n bigint"),
+        ordered.mapInArrow(releasing(_stream(min_docs, keep_first)), f"kind int, k1 bigint, k2 bigint, doc {id_type(lines, 'doc')}, sig bigint, pos int, n bigint"),
         "line-runs",
     )
     place = F.struct("doc", "sig", "pos")
@@ -150,7 +150,7 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["doc", "sig", "keep"])
 
-    return grouped.mapInArrow(pack, f"doc {id_type(lines, 'doc')}, sig bigint, keep binary")
+    return grouped.mapInArrow(releasing(pack), f"doc {id_type(lines, 'doc')}, sig bigint, keep binary")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -184,7 +184,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id"
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[3:]], names=[*names, *carried])
 
-    return joined.mapInArrow(work, schema)
+    return joined.mapInArrow(releasing(work), schema)
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, with_text: bool = False) -> DataFrame:

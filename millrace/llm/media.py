@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_type, shared_path, slices, stored, text_bytes
+from millrace.llm.common import id_type, releasing, shared_path, slices, stored, text_bytes
 from millrace.llm.files import opened
 
 #: Fill byte and unit of payloads, and the sample rate that the WAV header names.
@@ -202,7 +202,7 @@ def write_media(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
             if pack is not None:
                 pack.close()
 
-    return stored(rows.mapInArrow(work, schema), "media-recipes")
+    return stored(rows.mapInArrow(releasing(work), schema), "media-recipes")
 
 
 #: What a recipe has besides its chunks.
@@ -268,7 +268,7 @@ def read_media(recipes: DataFrame, folder: str, *, id_col: str = "doc_id", with_
         arrays = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=[id_col, "n_bytes", *names])
 
-    return ordered.mapInArrow(work, schema)
+    return ordered.mapInArrow(releasing(work), schema)
 
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import WORD, slices, stored, text_bytes
+from millrace.llm.common import WORD, releasing, slices, stored, text_bytes
 
 #: Shards in a group, the least number of groups where there are so many shards, and the most numbers
 #: that the driver draws for all groups.
@@ -255,7 +255,7 @@ class Mix:
                 texts = [cut(*row).decode("utf-8", "replace") for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], names=[f.name for f in fields])
 
-        return joined.mapInArrow(work, T.StructType(fields))
+        return joined.mapInArrow(releasing(work), T.StructType(fields))
 
 
 WORDS = re.compile(WORD.encode())

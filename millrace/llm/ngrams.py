@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, id_type, slices, stored, text_bytes
+from millrace.llm.common import WORD, id_type, releasing, slices, stored, text_bytes
 from millrace.llm.graph import components
 
 #: Bits of a parity sketch, in words of 64; large sets have a wide one besides.
@@ -200,7 +200,7 @@ class NgramJoin:
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc", "node", "size", "sketch", "wide", "tok", "sig"])
             _CACHE.clear()
 
-        return self.rows.mapInArrow(work, f"doc {self.kind}, node binary, size int, sketch binary, wide binary, tok bigint, sig binary")
+        return self.rows.mapInArrow(releasing(work), f"doc {self.kind}, node binary, size int, sketch binary, wide binary, tok bigint, sig binary")
 
     def _order(self, often: DataFrame) -> np.ndarray:
         """The most frequent shingles, sorted by hash, with their counts (bounded: FREQUENT rows)."""
@@ -258,7 +258,7 @@ class NgramJoin:
                     yield pa.RecordBatch.from_arrays([a.slice(at, 100_000) for a in arrays], names=["key", "k", "size"])
             _CACHE.clear()
 
-        return self.rows.select("body").mapInArrow(work, "key bigint, k bigint, size int")
+        return self.rows.select("body").mapInArrow(releasing(work), "key bigint, k bigint, size int")
 
     def _scanned(self) -> DataFrame:
         """The lists with more than one set, and for each member the pivot it is compared with."""
@@ -313,7 +313,7 @@ class NgramJoin:
                     held = None
             return
 
-        return rows.mapInArrow(work, "key bigint, k bigint, size int, pivot bigint")
+        return rows.mapInArrow(releasing(work), "key bigint, k bigint, size int, pivot bigint")
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) of keys of sets, those whose sizes and sketches allow a link."""
@@ -397,7 +397,7 @@ class NgramJoin:
             if held:
                 yield from compare(held)
 
-        return ordered.mapInArrow(work, "a bigint, b bigint")
+        return ordered.mapInArrow(releasing(work), "a bigint, b bigint")
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of sets that do link, from their whole texts."""
@@ -430,7 +430,7 @@ class NgramJoin:
                     yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.binary())], names=["node", "data"])
             _CACHE.clear()
 
-        read = self.rows.select(bit.alias("bit"), "body").mapInArrow(hashed, "node binary, data binary")
+        read = self.rows.select(bit.alias("bit"), "body").mapInArrow(releasing(hashed), "node binary, data binary")
         data = stored(read.join(needed, "node", "left_semi").dropDuplicates(["node"]), f"{name}-data")
         both = pairs.join(data.select(F.col("node").alias("a_node"), F.col("data").alias("a_data")), "a_node").join(data.select(F.col("node").alias("b_node"), F.col("data").alias("b_data")), "b_node")
 
@@ -443,7 +443,7 @@ class NgramJoin:
                     good.append(limit.den * common >= limit.num * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good))
 
-        return stored(both.select("a_node", "b_node", "a_data", "b_data").mapInArrow(work, "u binary, v binary"), f"{name}-links")
+        return stored(both.select("a_node", "b_node", "a_data", "b_data").mapInArrow(releasing(work), "u binary, v binary"), f"{name}-links")
 
     def roots(self) -> DataFrame:
         """(node, root) of every set that links with another: the components of all links."""
