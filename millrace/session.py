@@ -11,9 +11,19 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch, where the application doesn't say: whole texts are large rows, and a batch is
+#: held on both sides of a worker's pipe.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once per application, so that Python workers can import it."""
+    """Sends this package to the executors, once per application, so that Python workers can import it.
+
+    Also bounds Arrow batches in the session, unless the application has set them.
+    """
     sc = spark.sparkContext
+    if not sc.getConf().contains(BATCH_KEY) and spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).parent
         target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
