@@ -61,6 +61,8 @@ FILTER_BITS = 1 << 23
 OFTEN, FREQUENT = 3, 200_000
 #: Members of a list that are compared in one task with as many others.
 BLOCK = 1024
+#: Pairs that a task remembers, so as to give a pair of many lists once; they only save rows.
+GIVEN = 200_000
 #: Words whose hashes a worker keeps while a task runs; they only save time.
 CACHED = 100_000
 #: What scanning costs an entry of an inverted list, in rows of a subset.
@@ -334,7 +336,8 @@ class NgramJoin:
 
         With ``nearest`` only the pair with the nearest sketches for each component of a list.
 
-        Only these pairs leave a task. A list is dealt out in blocks of about BLOCK members, and
+        Only these pairs leave a task, and a pair that is in several of its lists leaves it once, but
+        for tasks with more than GIVEN pairs. A list is dealt out in blocks of about BLOCK members, and
         each pair of blocks is compared by itself, so that no task holds more than two.
         """
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -344,7 +347,15 @@ class NgramJoin:
         ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
         limit = self.limit
 
-        def compare(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fresh(pairs: set[tuple[int, int]], given: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            new = sorted(pairs - given)
+            if len(given) + len(new) > GIVEN:
+                given.clear()
+            given.update(new[:GIVEN])
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64())], names=["a", "b"])
+
+        def compare(part: list[pa.RecordBatch], given: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             own, k, size, root = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in part]) for i in (3, 4, 5, 6))
             lo, hi = part[0].column(1)[0].as_py(), part[0].column(2)[0].as_py()
             bits = np.frombuffer(b"".join(x for b in part for x in b.column(7).to_pylist()), np.uint64).reshape(len(k), SKETCH)
@@ -374,28 +385,25 @@ class NgramJoin:
                             best[of] = min(best.get(of, pair), pair)
                     continue
                 a, b = np.minimum(k[i], k[j])[near], np.maximum(k[i], k[j])[near]
-                both = np.unique(np.stack([a, b], axis=1), axis=0)
-                if len(both):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-            if best:
-                pairs = sorted({(a, b) for _, a, b in best.values()})
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+                yield from fresh(set(zip(a.tolist(), b.tolist(), strict=True)), given)
+            yield from fresh({(a, b) for _, a, b in best.values()}, given)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
+            given: set[tuple[int, int]] = set()
             last = None
             for batch in batches:
                 names = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True))
                 starts = [i for i in range(len(names)) if names[i] != (names[i - 1] if i else last)]
                 for start, end in zip([0, *starts], [*starts, len(names)], strict=True):
                     if start in starts and held:
-                        yield from compare(held)
+                        yield from compare(held, given)
                         held = []
                     if end > start:
                         held.append(batch.slice(start, end - start))
                 last = names[-1] if names else last
             if held:
-                yield from compare(held)
+                yield from compare(held, given)
 
         return ordered.mapInArrow(releasing(work), "a bigint, b bigint")
 
