@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.operators import ordering
 
@@ -40,11 +41,24 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     return edges.join(counts, "bin", "left").select("bin", "bin_start", "bin_end", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def time_buckets(samples: DataFrame, ts_ms: Column, bucket_ms: int, *values: str, groups: tuple[str, ...] = ()) -> DataFrame:
-    """Averages of ``values`` by bucket of ``bucket_ms`` milliseconds, with the bucket's ISO label."""
+def time_buckets(samples: DataFrame, ts_ms: Column, bucket_ms: int, *values: str, groups: tuple[str, ...] = (), order: Sequence[str] = ()) -> DataFrame:
+    """Averages of ``values`` by bucket of ``bucket_ms`` milliseconds, with the bucket's ISO label.
+
+    With ``order`` a bucket's values are added one by one in the order of these columns (equal ones by
+    value), as a sum of doubles depends on its order: the averages are the same however rows are dealt
+    out. Without it they are added in any order, combined before the shuffle.
+    """
     bucket = (F.floor(ts_ms / bucket_ms) * bucket_ms).cast("bigint")
-    rows = samples.groupBy(*groups, bucket.alias("bucket")).agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values))
-    return rows.withColumn("label", F.date_format(F.timestamp_millis("bucket"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    label = F.date_format(F.timestamp_millis("bucket"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if not order:
+        rows = samples.groupBy(*groups, bucket.alias("bucket")).agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values))
+        return rows.withColumn("label", label)
+    slim = samples.select(*groups, bucket.alias("bucket"), F.struct(*order).alias("_order"), *(F.col(v).cast("double").alias(v) for v in values))
+    by = Window.partitionBy(*groups, "bucket").orderBy("_order", *values)
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    added = slim.select(*groups, "bucket", F.row_number().over(by).alias("_at"), *(f(v).over(so_far).alias(f"_{n}_{v}") for v in values for n, f in (("sum", F.sum), ("n", F.count))))
+    last = added.groupBy(*groups, "bucket").agg(F.max("_at").cast("bigint").alias("n"), *(F.max_by(F.col(f"_sum_{v}") / F.nullif(F.col(f"_n_{v}"), F.lit(0)), "_at").alias(v) for v in values))
+    return last.withColumn("label", label)
 
 
 def session_aggregates(samples: DataFrame, session: str, *values: str) -> DataFrame:

@@ -692,7 +692,9 @@ def _events(spark, sf_dir) -> DataFrame:
 
 @query("SELECT (epoch_ms(ts) // 3600000 * 3600000)::BIGINT AS bucket, count(*)::BIGINT AS n, round(avg(value), 6) AS value, strftime(make_timestamp((epoch_ms(ts) // 3600000 * 3600000000)::BIGINT), '%Y-%m-%dT%H:%M:%S.%gZ') AS label FROM events GROUP BY 1, 4")
 def throughput_buckets(spark, sf_dir):
-    out = metrics.time_buckets(_events(spark, sf_dir), F.col("ms"), 3_600_000, "value")
+    """Values are added in the order in which rows are stored, as the SQL does on one thread."""
+    stored = _events(spark, sf_dir).select("ms", "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    out = metrics.time_buckets(stored, F.col("ms"), 3_600_000, "value", order=["file", "row"])
     return out.withColumn("value", F.round("value", 6))
 
 

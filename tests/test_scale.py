@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, dedup, ordering, parsing, planning, privacy, provenance, records
+from millrace.operators import chunking, dedup, metrics, ordering, parsing, planning, privacy, provenance, records
 from millrace.operators import validators as V
 from millrace.sources import code, formats
 
@@ -242,3 +242,18 @@ def test_rate_limit_dates(spark):
     out = [r["r"] for r in df.select(records.rate_limits(F.col("h"), F.lit(1_704_067_200_000)).alias("r")).collect()]
     assert (out[0]["retry_after"], out[0]["reset_at"]) == (10.0, 1_704_067_210_000.0)
     assert out[1]["limit"] == 0 and out[2]["retry_after"] is None and out[2]["reset_at"] == 0
+
+
+def test_buckets_add_in_order(spark, many_partitions):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(4) * 1000, rng.choice([None, 0.1, 0.7, 1e16, -1e16])) for i in range(400)]
+    expected = {}
+    for _, ts, x in rows:
+        n, m, s = expected.get(ts, (0, 0, 0.0))
+        expected[ts] = (n + 1, m, s) if x is None else (n + 1, m + 1, s + x)
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows[::-1], "id int, ts bigint, v double").repartition(parts, F.hash("id"))
+        out = metrics.time_buckets(df, F.col("ts"), 1000, "v", order=["id"]).collect()
+        assert {r["bucket"]: (r["n"], r["v"]) for r in out} == {t: (n, s / m) for t, (n, m, s) in expected.items()}
+    nothing = spark.createDataFrame([(1, 0, None)], "id int, ts bigint, v double")
+    assert [tuple(r) for r in metrics.time_buckets(nothing, F.col("ts"), 1000, "v", order=["id"]).collect()] == [(0, 1, None, "1970-01-01T00:00:00.000Z")]
