@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,89 +176,126 @@ def exact_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
 
 
-#: Vectors that stand for regions, and vectors that one comparison takes from each side.
-PIVOTS, BLOCK = 256, 2048
+#: Directions in which vectors are compared first, and vectors that one comparison takes from each side.
+PIVOTS, BLOCK = 16, 2048
+#: The least and the most vectors that a task compares with all later ones, and bytes of these that it holds at once.
+LEAST_SLICE, MOST_SLICE, HELD_BYTES = 512, 32_768, 16 << 20
+#: By how much a cosine of single precision may be off.
+SLACK = 1e-4
 
 
 def semantic_pairs(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(a, b, similarity) of vectors with a cosine over ``limit``: exact.
 
-    A bounded number of vectors, those with the least hashes of ids, are pivots. Each vector belongs to
-    its nearest pivot's region, and is also dealt to every region whose border is near enough for a
-    vector beyond it to reach the limit: unit vectors within e of each other, on two sides of the
-    plane between pivots p and q, have a distance from it of at most e each. Regions are compared in
-    blocks, by matrix products; vectors without regions of their own (dense in all directions) meet all
-    others, as there is no bound that would tell them apart.
+    Vectors are stored once in the shared folder, and nothing else is: each task holds a slice of them
+    and streams those that come later past it, block by block. Two blocks are compared in a few random
+    orthogonal directions first. What the rest may add to the cosine is at most the product of the
+    lengths there, so a pair whose cosine in these directions plus that product is not over the limit
+    is no pair; the others are computed in single precision and, near the limit or over it, in double.
+
+    The number of comparisons is that of all pairs, as vectors that are dense in all directions have no
+    regions of their own; a comparison is a column of a matrix product. Disk is that of one copy.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
-    unit = cut(_unit_vectors(vectors, id_col, vector_col, kind), "unit-vectors")
-    # At most PIVOTS rows.
-    pivots = [np.frombuffer(r["u"]) for r in unit.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
-    if not pivots:
+    double = vectors.schema[vector_col].dataType.elementType.simpleString() != "float"
+    unit = cut(_packed(vectors, id_col, vector_col, kind, double), "vectors")
+    # A row a file.
+    files = sorted(tuple(r) for r in unit.groupBy(F.col("_metadata.file_path").alias("file")).count().collect())
+    rows = min(max(LEAST_SLICE, -(-sum(n for _, n in files) // 64)), MOST_SLICE)
+    slices = [(i, lo, min(lo + rows, n)) for i, (_, n) in enumerate(files) for lo in range(0, n, rows)]
+    if not slices:
         return unit.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).where("false")
-    centers = np.unique(np.stack(pivots), axis=0)
-    reach = math.sqrt(max(0.0, 2 - 2 * limit)) + 1e-9
-    between = np.sqrt(np.maximum(0.0, 2 - 2 * centers @ centers.T))
-
-    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(batch.num_rows, -1)
-            dots = u @ centers.T
-            own = dots.argmax(axis=1)
-            # 2 * (distance from the plane) * between = |u - p|^2 - |u - own|^2 = 2 * (u.own - u.p)
-            near = dots.max(axis=1)[:, None] - dots <= reach * between[own] + 1e-9
-            row, cell = np.nonzero(near)
-            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(cell == own[row])]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "u", "cell", "home"])
-
-    dealt = cut(unit.select("id", "u").mapInArrow(regions, f"id {kind}, u binary, cell int, home boolean"), "regions")
-    # A row a region.
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = dealt.join(F.broadcast(sizes), "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Each vector at home meets every vector of its region, block by block.
-    left = rows.where("home").select("cell", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.lit(True).alias("home"), "id", "u")
-    right = rows.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("own").alias("y"), F.lit(False).alias("home"), "id", "u")
-    ordered = left.unionByName(right).repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "home")
+    paths, block, directions, held = [f for f, _ in files], BLOCK, PIVOTS, HELD_BYTES
+
+    def read(file: int, start: int) -> Iterator[tuple]:
+        """(place of the first, ids, vectors, lengths, unit vectors, few directions and the length of the rest) from a row on."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(paths[file])
+        with store.open_input_file(name) as source:
+            at, table, most = 0, pq.ParquetFile(source), None
+            for batch in table.iter_batches(batch_size=1024, columns=["v"]):
+                most = max(block, held // max(1, batch.column(0).nbytes // batch.num_rows))
+                break
+            for batch in table.iter_batches(batch_size=most or 1, columns=["id", "v", "norm"]):
+                skip = min(max(0, start - at), batch.num_rows)
+                at, batch = at + batch.num_rows, batch.slice(skip)
+                if not batch.num_rows:
+                    continue
+                v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64 if double else np.float32).reshape(batch.num_rows, -1)
+                norm = batch.column(2).to_numpy()
+                u = (v / norm[:, None]).astype(np.float32)
+                if u.shape[1] > directions:
+                    turn = np.linalg.qr(np.random.default_rng(0).normal(size=(u.shape[1], directions)))[0].astype(np.float32)
+                    few = u @ turn
+                    few = np.column_stack([few, np.sqrt(np.maximum(0, 1 - np.square(few).sum(axis=1)))])
+                else:
+                    few = u
+                yield at - batch.num_rows, batch.column(0), v, norm, u, few
+
+    def over(x: tuple, y: tuple, within: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of two sides; ``within`` if both are in one file, where a pair's first is the earlier row."""
+        (px, ix, vx, nx, ux, fx), (py, iy, vy, ny, uy, fy) = x, y
+        for i in range(0, len(ux), block):
+            for j in range(0, len(uy), block):
+                if within and px + i >= py + j + block:
+                    continue
+                near = fx[i : i + block] @ fy[j : j + block].T > limit - SLACK
+                n = np.count_nonzero(near)
+                if n > near.size // 16:
+                    near &= ux[i : i + block] @ uy[j : j + block].T > limit - SLACK
+                if not n:
+                    continue
+                for k in range(0, len(near), 64):
+                    r, c = np.nonzero(near[k : k + 64])
+                    r, c = r + i + k, c + j
+                    if within:
+                        r, c = (z[px + r < py + c] for z in (r, c))
+                    good = np.einsum("ij,ij->i", ux[r], uy[c]) > limit - SLACK
+                    r, c = r[good], c[good]
+                    if not len(r):
+                        continue
+                    dot = np.zeros(len(r))
+                    for d in range(vx.shape[1]):
+                        dot += vx[r, d].astype(np.float64) * vy[c, d].astype(np.float64)
+                    dot /= nx[r] * ny[c]
+                    a, b = ix.take(pa.array(r)), iy.take(pa.array(c))
+                    found = pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b), pa.array(dot)], names=["a", "b", "similarity"])
+                    yield found.filter(pc.and_(pa.array(dot > limit), pc.not_equal(a, b)))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(part: list[tuple]) -> Iterator[pa.RecordBatch]:
-            sides = [[(i, np.frombuffer(u)) for home, i, u in part if home is side] for side in (True, False)]
-            if not all(sides):
-                return
-            (p, x), (q, y) = ((([i for i, _ in s]), np.stack([u for _, u in s])) for s in sides)
-            found = x @ y.T
-            at = [(i, j) for i, j in zip(*np.nonzero(found > limit - 1e-9), strict=True) if p[i] != q[j]]
-            if at:
-                a, b = [min(p[i], q[j]) for i, j in at], [max(p[i], q[j]) for i, j in at]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([float(found[i, j]) for i, j in at])], names=["a", "b", "similarity"])
-
-        held, last = [], None
         for batch in batches:
-            for cell, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cell, x, y) != last:
-                    yield from pairs(held)
-                    held, last = [], (cell, x, y)
-                held.append(tuple(row))
-        yield from pairs(held)
-
-    found = ordered.mapInArrow(compared, f"a {kind}, b {kind}, similarity double").select("a", "b").distinct()
-    sides = [unit.select(F.col("id").alias(x), F.col("v").alias(f"{x}_v"), F.col("norm").alias(f"{x}_norm")) for x in "ab"]
-    both = found.join(sides[0], "a").join(sides[1], "b")
-    dot = F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return both.select("a", "b", (dot / (F.col("a_norm") * F.col("b_norm"))).alias("similarity")).where(F.col("similarity") > limit)
-
-
-def _unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
-    """(id, v, norm, u): vectors with a length, as doubles, and as the bytes of unit vectors."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0")
+            for number in batch.column(0).to_pylist():
+                own, lo, hi = slices[number]
+                mine, left = [], hi - lo
+                for side in read(own, lo):
+                    mine.append((side[0], *(z[:left] for z in side[1:])))
+                    left -= len(mine[-1][1])
+                    if left <= 0:
+                        break
+                for file in range(own, len(paths)):
+                    for side in read(file, lo if file == own else 0):
+                        for x in mine:
+                            yield from over(x, side, file == own)
+
+    # A task a slice.
+    tasks = vectors.sparkSession.range(0, len(slices), 1, len(slices))
+    return tasks.mapInArrow(compared, f"a {kind}, b {kind}, similarity double")
+
+
+def _packed(vectors: DataFrame, id_col: str, vector_col: str, kind: str, double: bool) -> DataFrame:
+    """(id, v, norm): vectors with a length, as the bytes of their numbers."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>" if double else "array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).where("norm > 0")
+    number = np.float64 if double else np.float32
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [(np.array(v) / n).tobytes() for v, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(units, pa.binary())], names=["id", "v", "norm", "u"])
+            packed = [np.array(v, number).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["id", "v", "norm"])
 
-    return rows.mapInArrow(work, f"id {kind}, v array<double>, norm double, u binary")
+    return rows.mapInArrow(work, f"id {kind}, v binary, norm double")
 
 
 def semantic_kept(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import chunking, dedup, metrics, ordering, parsing, planning, privacy, provenance, records
 from millrace.operators import validators as V
 from millrace.sources import code, formats
+from millrace.storage import shared_dir
 
 
 @pytest.fixture
@@ -57,6 +59,25 @@ def test_semantic_pairs_of_clusters(spark, monkeypatch, limit, blocks):
     assert dedup.semantic_pairs(df.where("false")).count() == 0
 
 
+def test_semantic_pairs_store_vectors_once(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 64))
+    x[700:720] = x[3] + rng.normal(size=(20, 64)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<float>").repartition(5)
+    df.write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    size = lambda folder: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = size(shared)
+    got = {(r["a"], r["b"]) for r in dedup.semantic_pairs(df).collect()}
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    names = sorted(f"v{i}" for i in range(1200))
+    i, j = np.nonzero(np.triu(x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2) > 0.95, 1))
+    assert got == {(names[a], names[b]) for a, b in zip(i, j, strict=True)} and len(got) > 100
+    assert size(shared) - before < 2 * size(tmp_path)
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.9, 1.0])
 def test_links_by_brute_force(spark, threshold):
     rng = random.Random(3)
