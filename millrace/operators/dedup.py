@@ -9,6 +9,8 @@ in rounds: whoever has no undecided earlier neighbour stays, and its later neigh
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -48,6 +50,77 @@ def token_hash(c: Column) -> Column:
     return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), start, step)
 
 
+#: Bits of the filter that says whose words are needed; token hashes that a worker keeps, which only save time.
+FILTER_BITS, CACHED = 1 << 23, 200_000
+#: Buckets of a sketch; a bucket's number is ten bits of a hash.
+SKETCH = 1024
+
+
+class _TokenHashes(dict):
+    """The 64-bit hashes of tokens, see :func:`token_hash`, computed when first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        h = START_HI << 32 | START_LO
+        for ch in token:
+            h = ((h ^ ord(ch)) * ((1 << 40) + FACTOR)) & 0xFFFFFFFFFFFFFFFF
+        if len(self) >= CACHED:
+            self.clear()
+        self[token] = h
+        return h
+
+
+_HASHES = _TokenHashes()
+_RUNS = re.compile(TOKEN)
+
+
+def _windows(text: Column) -> Column:
+    """The tokens of a text without runs of letters, else null: see :func:`tokens`."""
+    return F.when(~F.rlike(text, F.lit(TOKEN)), tokens(text))
+
+
+def _token_lists(texts: pa.Array, windows: pa.Array) -> Iterator[list[str]]:
+    """The tokens of each text. Runs hold no letters but ASCII ones and CJK, which has no case."""
+    for text, other in zip(texts.to_pylist(), windows.to_pylist(), strict=True):
+        yield [t.lower() for t in _RUNS.findall(text)] if other is None else other
+
+
+def _hashes(found: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, len, script, sim, n, sketch) of (key, id, len, script, text, windows).
+
+    The similarity hash, the number of distinct tokens, and for each of SKETCH buckets of these whether
+    their number is odd: at most as many buckets differ between texts as tokens do.
+    """
+    for batch in batches:
+        sims, sizes, sketches = [], [], []
+        for found in _token_lists(batch.column(4), batch.column(5)):
+            counted = Counter(found)
+            h = _hashes(counted)
+            times = np.fromiter(counted.values(), np.int64, len(counted))
+            bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = (times @ bits) * 2 >= times.sum()
+            sims.append(int.from_bytes(np.packbits(ones).tobytes(), "big", signed=True) if counted else 0)
+            sizes.append(len(counted))
+            # The low bits of a product depend on few bits of a token; mixed ones name the bucket.
+            bucket = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(54)).astype(np.int64)
+            sketches.append(np.packbits(np.bincount(bucket, minlength=SKETCH) & 1 == 1).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sims, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=["key", "id", "len", "script", "sim", "n", "sketch"])
+
+
+def _bits(numbers: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits in which those of the column ``bit`` are set."""
+    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
+    number = F.col("bit") + 1  # Spark's bitmaps count from 1
+    for r in numbers.groupBy(F.bitmap_bucket_number(number).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")).collect():
+        at = (r["n"] - 1) * len(r["bits"])
+        piece = np.frombuffer(bytes(r["bits"]), np.uint8)[: max(0, len(wanted) - at)]
+        wanted[at : at + len(piece)] |= piece
+    return wanted
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hi, lo): the halves of each text's similarity hash; 0 for text without tokens.
 
@@ -92,9 +165,90 @@ def keepers(docs: DataFrame, kept: DataFrame, edges: DataFrame, id_col: str = "d
     return home.select("id", F.coalesce("own", "near").alias("keeper")).where("id <> keeper")
 
 
-def _pieces(apart: int) -> int:
-    """Into how many pieces 48 bits are cut, so that with ``apart`` bits different one piece is equal; one where pieces get too short."""
-    return apart + 1 if apart <= 11 else 1
+def _close(described: DataFrame, threshold: float, skip_cross_script: bool) -> DataFrame:
+    """(a, b), a < b: rows of ``described`` that may link, by all that is told of them but their words.
+
+    Similarity hashes of one language are alike, so keys of parts of them would meet in more rows than
+    there are texts. Each task holds a slice of the table and streams past it the rows of a number of
+    tokens that is within the threshold; what leaves it has sketches that allow a link.
+    """
+    kind = described.schema["id"].dataType.simpleString()
+    # A row a file.
+    files = sorted(tuple(r) for r in described.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*"), F.min("n"), F.max("n")).select(F.col("min(n)"), F.col("max(n)"), F.col("file"), F.col("count(1)")).collect())
+    rows = min(max(LEAST_SLICE, -(-sum(f[3] for f in files) // 64)), MOST_SLICE)
+    # Rows of a file are counted with those that have no id, which are passed over.
+    slices = [(i, lo, lo + rows) for i, f in enumerate(files) for lo in range(0, f[3], rows)]
+    if not slices:
+        return described.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    most, block, held = int(64 * (1 - threshold)), BLOCK, max(BLOCK, HELD_BYTES // 256)
+    spare = (1 - threshold) / (1 + threshold)
+
+    def read(file: int, start: int) -> Iterator[tuple]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(files[file][2])
+        with store.open_input_file(name) as source:
+            at = 0
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=held, columns=["id", "len", "script", "sim", "n", "sketch"]):
+                batch = batch.filter(pc.is_valid(batch.column(0)))
+                skip = min(max(0, start - at), batch.num_rows)
+                at, batch = at + batch.num_rows, batch.slice(skip)
+                if batch.num_rows:
+                    size, sim, n = (batch.column(i).to_numpy() for i in (1, 3, 4))
+                    cross = pc.fill_null(pc.index_in(batch.column(2), pa.array(["cjk", "latin"])), -9).to_numpy()
+                    bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                    yield at - batch.num_rows, batch.column(0), size, sim.view(np.uint64), n.astype(np.int64), cross, bits
+
+    def apart(n: np.ndarray, m: np.ndarray) -> bool:
+        return n.max() < threshold * m.min() or m.max() < threshold * n.min()
+
+    def over(x: tuple, y: tuple, within: bool) -> Iterator[pa.RecordBatch]:
+        (px, ix, lx, sx, nx, cx, bx), (py, iy, ly, sy, ny, cy, by) = x, y
+        for i in range(0, len(nx), 512):
+            for j in range(0, len(ny), block):
+                if within and px + i >= py + j + block or apart(nx[i : i + 512], ny[j : j + block]):
+                    continue
+                r, c = np.nonzero(np.bitwise_count(sx[i : i + 512, None] ^ sy[None, j : j + block]) <= most)
+                for k in range(0, len(r), 100_000):
+                    p, q = r[k : k + 100_000] + i, c[k : k + 100_000] + j
+                    good = np.minimum(nx[p], ny[q]) >= threshold * np.maximum(nx[p], ny[q])
+                    if within:
+                        good &= px + p < py + q
+                    p, q = p[good], q[good]
+                    bands = (sx[p] ^ sy[q]).view(np.uint16).reshape(-1, 4)
+                    good = (bands == 0).any(axis=1)
+                    both = (lx[p] > 0) & (ly[q] > 0)
+                    good &= ~both | (np.abs(lx[p] - ly[q]) / np.maximum(1, np.maximum(lx[p], ly[q])) <= 0.5)
+                    if skip_cross_script:
+                        good &= ~((cx[p] + cy[q] == 1) & both)
+                    p, q = p[good], q[good]
+                    good = np.bitwise_count(bx[p] ^ by[q]).sum(axis=1) <= (nx[p] + ny[q]) * spare + 1e-6
+                    p, q = p[good], q[good]
+                    if len(p):
+                        a, b = ix.take(pa.array(p)), iy.take(pa.array(q))
+                        yield pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], names=["a", "b"]).filter(pc.not_equal(a, b))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                own, lo, hi = slices[number]
+                mine, left = [], hi - lo
+                for side in read(own, lo):
+                    mine.append((side[0], *(z[:left] for z in side[1:])))
+                    left -= len(mine[-1][1])
+                    if left <= 0:
+                        break
+                for file in range(own, len(files)):
+                    if not mine or apart(np.array(files[own][:2]), np.array(files[file][:2])):
+                        continue
+                    for side in read(file, lo if file == own else 0):
+                        for x in mine:
+                            yield from over(x, side, file == own)
+
+    # A task a slice.
+    tasks = described.sparkSession.range(0, len(slices), 1, len(slices))
+    return tasks.mapInArrow(compared, f"a {kind}, b {kind}")
 
 
 def links(docs: DataFrame, threshold: float = 0.9, skip_cross_script: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,48 +257,48 @@ def links(docs: DataFrame, threshold: float = 0.9, skip_cross_script: bool = Tru
     Equal texts are one class, of which the first row stands for the others, so that a text of many
     copies makes no pairs among them; :func:`classes` has the membership.
 
-    Linked texts share one of four bands of 16 bits. They also differ in few of the other 48 bits, so
-    one of some pieces of these is equal, and their numbers of words are within the threshold of each
-    other, so they are in the same or in neighbouring steps of a geometric scale. All of these are in
-    the key that texts meet on, which is exact and leaves few texts a key at any size of the corpus.
+    Linked texts share one of four bands of 16 bits of their hashes, differ in few of the others, and
+    have numbers of words within the threshold of each other. Pairs of which sketches say that their
+    words differ in too many go before any words are moved; the rest is decided by all their words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("key"))
-    distinct = cut(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text")).drop("key"), "distinct")
-    words = F.array_distinct(tokens(F.col("text")))
-    described = cut(distinct.select("id", utf16_length(F.col("text")).alias("len"), script(F.col("text")).alias("script"), words.alias("words")).join(simhash(distinct, "id", "text"), "id"), "described")
-    most = int(64 * (1 - threshold))
-    parts = [F.col("lo").bitwiseAND(F.lit(0xFFFF)), F.shiftright("lo", 16), F.col("hi").bitwiseAND(F.lit(0xFFFF)), F.shiftright("hi", 16)]
-    pieces = _pieces(most)
-    ends = [48 * i // pieces for i in range(pieces + 1)]
-
-    def keys(band: int) -> list[Column]:
-        x, y, z = (p for i, p in enumerate(parts) if i != band)
-        rest = x.bitwiseOR(F.shiftleft(y, 16)).bitwiseOR(F.shiftleft(z, 32))
-        bits = [F.shiftright(rest, lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(ends, ends[1:], strict=False)] if pieces > 1 else [F.lit(0).cast("bigint")]
-        return [F.struct(F.lit(band * pieces + i).alias("at"), parts[band].alias("value"), piece.alias("piece")) for i, piece in enumerate(bits)]
-
-    n = F.size("words")
-    step = F.when(n == 0, -1).otherwise(F.floor(F.ln(n) / math.log(1 / threshold) + 1e-9)) if 0.05 < threshold < 1 else F.when(n == 0, -1).otherwise(n if threshold >= 1 else 0)
-    keyed = described.select("id", "len", "script", "hi", "lo", n.alias("n"), step.cast("bigint").alias("step"), F.explode(F.array(*(k for band in range(4) for k in keys(band)))).alias("k"))
-    wide = keyed.withColumn("step", F.explode(F.when((F.col("n") > 0) & F.lit(0.05 < threshold < 1), F.sequence(F.col("step") - 1, F.col("step") + 1)).otherwise(F.array("step"))))
-    a, b = wide.alias("a"), keyed.alias("b")
-    longest = F.greatest("a.len", "b.len")
-    near = (F.col("a.k") == F.col("b.k")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.id") < F.col("b.id"))
-    near &= (F.col("a.len") == 0) | (F.col("b.len") == 0) | (F.abs(F.col("a.len") - F.col("b.len")) / longest <= 0.5)
-    near &= (F.col("a.n") == 0) & (F.col("b.n") == 0) | (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-    if skip_cross_script:
-        one = F.array(F.lit("cjk"), F.lit("latin"))
-        near &= ~(F.array_contains(one, F.col("a.script")) & F.array_contains(one, F.col("b.script")) & (F.col("a.script") != F.col("b.script")) & (F.col("a.len") > 0) & (F.col("b.len") > 0))
-    apart = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
-    near &= apart <= most
-    pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    side = lambda x: described.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("a_words", "b_words"))
-    total = F.size("a_words") + F.size("b_words")
-    similarity = F.when(total == 0, 1.0).when((F.size("a_words") == 0) | (F.size("b_words") == 0), 0.0).otherwise(common / (total - common))
-    return cut(both.where(similarity >= threshold).select("a", "b"), "links")
+    kind = docs.schema[id_col].dataType.simpleString()
+    # The text itself is never moved: what is told of it is a short row, by the digest of the text.
+    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), F.col(id_col).alias("id"), utf16_length(text).alias("len"), script(text).alias("script"), text.alias("text"), _windows(text).alias("windows"))
+    told = rows.mapInArrow(_told, f"key binary, id {kind}, len bigint, script string, sim bigint, n int, sketch binary")
+    described = cut(told.groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("len", "script", "sim", "n", "sketch"))).repartitionByRange("n").sortWithinPartitions("n"), "described")
+    pairs = cut(_close(described.where("id IS NOT NULL"), threshold, skip_cross_script), "pairs")
+    # Words of the texts in pairs alone, found by a filter of a fixed size; what passes it by chance meets no pair.
+    ends_ = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = described.join(ends_, "id", "left_semi").select("key", "id")
+    bit = lambda key: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    wanted = _bits(needed.select(bit("key").alias("bit")))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            if batch.num_rows:
+                words = [np.unique(_hashes(t)).tobytes() for t in _token_lists(batch.column(2), batch.column(3))]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.binary())], names=["key", "words"])
+
+    read = rows.select(bit("key").alias("bit"), "key", "text", "windows").mapInArrow(asked, "key binary, words binary")
+    words = cut(read.join(needed, "key").groupBy("key").agg(F.first("id").alias("id"), F.first("words").alias("words")).select("id", "words"), "words")
+    side = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_words", "b_words")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                total = len(x) + len(y)
+                good.append((1.0 if total == 0 else 0.0 if not len(x) or not len(y) else common / (total - common)) >= threshold)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return cut(both.mapInArrow(alike, f"a {kind}, b {kind}"), "links")
 
 
 def first_kept(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
