@@ -267,6 +267,41 @@ def entailment(premise: Column, hypothesis: Column) -> Column:
     return F.when(n == 0, 0.9).when(share >= 0.8, 0.9).when(share >= 0.3, 0.5).otherwise(0.1)
 
 
+def entailed(docs: DataFrame, passages: DataFrame, on: str, doc_id: str, item_id: str, threshold: float = 0.7) -> DataFrame:
+    """(item_id, doc_id, score, passed) of each document with each passage that has the same ``on``; both have a ``text``.
+
+    What :func:`factual_consistency` gives, but the tokens of a document are found and counted once for
+    all its passages. A passage without a text has no tokens; documents without one are left out.
+    """
+    kinds = docs.schema[doc_id].dataType.simpleString(), passages.schema[item_id].dataType.simpleString()
+    lists = passages.groupBy(on).agg(F.collect_list(F.struct(F.col(item_id).alias("item"), F.lower(F.coalesce("text", F.lit(""))).alias("premise"))).alias("premises"))
+    rows = docs.where(F.col("text").isNotNull()).select(on, F.col(doc_id).alias("doc"), F.lower("text").alias("hypothesis")).join(lists, on)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = re.compile(r"\b[\w']+\b", re.ASCII)
+        known: dict[str, set[str]] = {}
+        for batch in batches:
+            at, items, scores = [], [], []
+            for i, (text, premises) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                counted = Counter(token.findall(text))
+                n = counted.total()
+                for one in premises:
+                    said = known.get(one["premise"])
+                    if said is None:
+                        if len(known) >= 1000:
+                            known.clear()
+                        said = known[one["premise"]] = set(token.findall(one["premise"]))
+                    share = sum(counted[t] for t in said if t in counted) / n if n else 1.0
+                    at.append(i)
+                    items.append(one["item"])
+                    scores.append(0.9 if share >= 0.8 else 0.5 if share >= 0.3 else 0.1)
+            passed = [x >= threshold for x in scores]
+            item_type = batch.schema.field(2).type.value_type.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(items, item_type), batch.column(0).take(pa.array(at, pa.int64())), pa.array(scores, pa.float64()), pa.array(passed, pa.bool_())], names=[item_id, doc_id, "score", "passed"])
+
+    return rows.select("doc", "hypothesis", "premises").mapInArrow(work, f"`{item_id}` {kinds[1]}, `{doc_id}` {kinds[0]}, score double, passed boolean")
+
+
 def hallucination(premise: Column, text: Column) -> Column:
     """Share of the claims that the premise (a token array) does not entail, off 1."""
     made = claims(text)

@@ -203,10 +203,9 @@ s AS (SELECT item_id, doc_id, CASE WHEN len(h) = 0 THEN 0.9 WHEN k / len(h) >= 0
 SELECT item_id, doc_id, score, score >= 0.7 AS passed FROM s""")
 def entailment_vs_benchmark(spark, sf_dir):
     """Each document against one benchmark passage, by their ids: whether the passage entails it."""
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(V.entailment_tokens(F.col("text"))).alias("p"), (F.col("item_id") % 40).alias("k"))
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", (F.col("doc_id") % 40).alias("k"))
-    verdicts = docs.join(bench, "k").select("item_id", "doc_id", V.factual_consistency(F.col("p"), F.col("text")).alias("v"))
-    return verdicts.select("item_id", "doc_id", "v.score", "v.passed")
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text", (F.col("item_id") % 40).alias("k"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k"))
+    return V.entailed(docs, bench, "k", "doc_id", "item_id")
 
 
 @query(f"""

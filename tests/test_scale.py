@@ -278,3 +278,16 @@ def test_buckets_add_in_order(spark, many_partitions):
         assert {r["bucket"]: (r["n"], r["v"]) for r in out} == {t: (n, s / m) for t, (n, m, s) in expected.items()}
     nothing = spark.createDataFrame([(1, 0, None)], "id int, ts bigint, v double")
     assert [tuple(r) for r in metrics.time_buckets(nothing, F.col("ts"), 1000, "v", order=["id"]).collect()] == [(0, 1, None, "1970-01-01T00:00:00.000Z")]
+
+
+def test_entailment_counts_a_text_once(spark):
+    texts = [(1, "The cat's cat, the CAT sat on it"), (2, None), (3, ""), (4, "\u00e9 !!"), (5, "'quoted' _x_ cat\u00e9s dog's'"), (6, "dogs bark"), (None, "the cat")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id int, text string, k int").repartition(3)
+    bench = spark.createDataFrame([(10, "The CAT sat on the mat", 0), (11, None, 0), (12, "x cat's dog", 0), (13, "dogs", 1)], "item_id bigint, text string, k int")
+    premise = F.array_distinct(V.entailment_tokens(F.coalesce("p", F.lit(""))))
+    pairs = docs.where("text IS NOT NULL").join(bench.select("item_id", F.col("text").alias("p"), "k"), "k")
+    expected = pairs.select("item_id", "doc_id", V.factual_consistency(premise, F.col("text")).alias("v")).select("item_id", "doc_id", "v.score", "v.passed")
+    out = V.entailed(docs, bench, "k", "doc_id", "item_id")
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(out.collect(), key=key) == sorted(expected.collect(), key=key) and out.count() == 18
+    assert out.schema.simpleString() == expected.schema.simpleString()
