@@ -291,3 +291,15 @@ def test_entailment_counts_a_text_once(spark):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(out.collect(), key=key) == sorted(expected.collect(), key=key) and out.count() == 18
     assert out.schema.simpleString() == expected.schema.simpleString()
+
+
+def test_links_store_no_texts(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(900)) for _ in range(60)]
+    texts.append(texts[0] + " more")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in shared.rglob("*.parquet"))
+    before = size()
+    assert [tuple(r) for r in dedup.links(df).collect()] == [(0, 60)]
+    assert size() - before < sum(map(len, texts)) / 10
